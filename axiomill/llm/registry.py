@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import token_files, topk, url_filters
+from . import decontaminate, language_id, token_files, topk, url_filters
 
 QUERIES = {
     "op3_token_files": token_files.query,
+    "op4_language_id": language_id.query,
     "op7_url_filters": url_filters.query,
     "op8_exact_topk": topk.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 SQL = {
     "op7_url_filters": url_filters.SQL,
     "op8_exact_topk": topk.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
