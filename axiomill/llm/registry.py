@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, token_files, topk, url_filters
+from . import decontaminate, language_id, quality, token_files, topk, toxicity, url_filters
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op3_token_files": token_files.query,
     "op4_language_id": language_id.query,
+    "op5_toxicity": toxicity.query,
     "op7_url_filters": url_filters.query,
     "op8_exact_topk": topk.query,
     "op10_decontaminate": decontaminate.query,
