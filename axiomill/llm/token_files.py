@@ -20,7 +20,7 @@ from .common import arrow_rows, partitions_for, stash, table
 
 MAGIC = b"AXTF1"
 #: a shard is closed at this many ids or documents; words kept by a worker's encoder
-SHARD_IDS, SHARD_DOCS, CACHED = 1 << 19, 4096, 300_000
+SHARD_IDS, SHARD_DOCS, CACHED = 1 << 19, 4096, 600_000
 SAMPLE = 64
 
 
@@ -120,7 +120,8 @@ class Encoder:
 
     The tokenizer's splitting pattern always cuts before a single space between two characters that are not
     white space, so the ids of a text are those of its pieces between such spaces. Pieces are looked
-    up; new ones go to the library in one batch. Texts with a special token's string go to the library whole.
+    up. New pieces with that one space go to the library many at a time in one string, whose ids are cut again at
+    the tokens that begin with a space; others go one by one. Texts with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -133,6 +134,9 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.cached = cached
+        self.begins = np.zeros(self.tok.get_vocab_size(), bool)
+        for piece, i in self.tok.get_vocab().items():
+            self.begins[i] = piece.startswith("\u0120")  # how byte-level vocabularies write a space
 
     def pieces(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -152,10 +156,17 @@ class Encoder:
             self.known = {}
         known = self.known
         new = list({p for ps in split if ps is not None for p in ps if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+        plain = [p for p in new if p[:1] == " " and p.find(" ", 1) < 0]
+        for at in range(0, len(plain), 64):
+            part = plain[at : at + 64]
+            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(part):
+                b, cuts = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
+                known.update((p, b[i:j]) for p, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
+        rest = [p for p in new if p not in known]
+        for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, "<u4").tobytes()
         return [
             np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if ps is None else np.frombuffer(b"".join([known[p] for p in ps]), "<u4")
             for t, ps in zip(texts, split, strict=True)
