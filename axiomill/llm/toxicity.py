@@ -1,8 +1,8 @@
 """Toxicity by a subsequence string-kernel SVM with Nystrom landmarks.
 
-The kernel of two words counts their common subsequences of three letters, each weighted by a decay for every gap (spans up to
-``SPAN`` letters), so inserted or dropped characters cost little. Landmark words give the Nystrom map; a linear SVM in it is
-collapsed into one weight for each three-letter subsequence, which makes scoring a table look-up. A sentence, and so a text,
+The kernel of two words counts their common subsequences of three and four letters, each weighted by a decay for every gap (spans up
+to ``SPAN`` letters), so inserted or dropped characters cost little. Landmark words give the Nystrom map; a linear SVM in it is
+collapsed into one weight for each subsequence, which makes scoring a table look-up. A sentence, and so a text,
 takes the decision of its best matching word; Platt scaling turns it into a probability.
 """
 
@@ -21,23 +21,24 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, crc_mod, table
 from .labelled import labelled_sample
 
-SPAN, DECAY, LONGEST = 7, 0.6, 24
+SPAN, DECAY, LONGEST = 7, 0.5, 24
 #: bounds of the fit: labelled rows of each class (expected), landmark words, words of each class in the SVM
-FIT_ROWS, LANDMARKS, FIT_WORDS = 2000, 160, 3000
+FIT_ROWS, LANDMARKS, FIT_WORDS = 2000, 400, 2000
+#: slack weights of the classes
+POSITIVE, NEGATIVE = 3.0, 1.0
 CACHED = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 LEET = str.maketrans("013457$@", "oieastsa")
-CODES = 1 << 15
+CODES = (1 << 15) + (1 << 20)
 
 
 @functools.lru_cache
-def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Places and weights of the subsequences of a word of n letters; the root of the sum of squared weights."""
-    t = [(i, j, k) for i in range(n) for j, k in itertools.combinations(range(i + 1, min(n, i + SPAN)), 2)]
-    i, j, k = (np.array(x, np.int64) for x in zip(*t, strict=True)) if t else (np.zeros(0, np.int64),) * 3
-    w = DECAY ** (k - i - 2.0) if t else np.zeros(0)
-    return i, j, k, w, math.sqrt(float((w**2).sum())) or 1.0
+def places(n: int, p: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Letter places and weights of the subsequences of p letters in a word of n."""
+    t = [(i, *rest) for i in range(n) for rest in itertools.combinations(range(i + 1, min(n, i + SPAN)), p - 1)]
+    at = [np.array(x, np.int64) for x in zip(*t, strict=True)] if t else [np.zeros(0, np.int64)] * p
+    return at, DECAY ** (at[-1] - at[0] - (p - 1.0))
 
 
 def letters_of(words: list[str], n: int) -> np.ndarray:
@@ -48,10 +49,13 @@ def letters_of(words: list[str], n: int) -> np.ndarray:
 
 
 def subsequences(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (words x subsequences) and their normalised weights, for words of one length."""
+    """Codes (words x subsequences) and their weights, normalised by length, for words of n letters."""
     a = letters_of(words, n)
-    i, j, k, w, norm = triples(n + 1)
-    return a[:, i] * 1024 + a[:, j] * 32 + a[:, k], w / norm
+    (i, j, k), w3 = places(n + 1, 3)
+    (q, r, s, t), w4 = places(n + 1, 4)
+    codes = np.concatenate([a[:, i] * 1024 + a[:, j] * 32 + a[:, k], (1 << 15) + a[:, q] * 32768 + a[:, r] * 1024 + a[:, s] * 32 + a[:, t]], axis=1)
+    w = np.concatenate([w3, w4])
+    return codes, w / (math.sqrt(float((w**2).sum())) or 1.0)
 
 
 def by_length(words: list[str]):
@@ -61,16 +65,22 @@ def by_length(words: list[str]):
     return groups.items()
 
 
-def embed(words: list[str]) -> np.ndarray:
-    """Explicit feature vectors (words x CODES); for landmark-sized lists only."""
-    out = np.zeros((len(words), CODES), np.float32)
+def embed(words: list[str], codes: np.ndarray) -> np.ndarray:
+    """Feature vectors of words over some (sorted) subsequence codes."""
+    out = np.zeros((len(words), len(codes)), np.float32)
     for n, at in by_length(words):
-        codes, w = subsequences([words[i] for i in at], n)
+        c, w = subsequences([words[i] for i in at], n)
+        col = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+        ok = codes[col] == c
         for r, i in enumerate(at):
-            np.add.at(out[i], codes[r], w)
+            np.add.at(out[i], col[r, ok[r]], w[ok[r]])
     return out
 
 
+def codes_in(words: list[str]) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(subsequences([words[i] for i in at], n)[0]) for n, at in by_length(words)]))
+
+
 def clean(token: str) -> list[str]:
     """The words that a raw token may hide: its letter runs and their concatenation, cut to ``LONGEST`` letters with an overlap."""
     runs = LETTERS.findall(token)
@@ -147,20 +157,30 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 25) -> tuple[
 
 
 def train(landmarks: list[str], pos: list[str], neg: list[str]) -> SubsequenceSVM:
-    e = embed(landmarks).astype(np.float64)
+    codes = codes_in(landmarks)
+    e = embed(landmarks, codes).astype(np.float64)
     val, vec = np.linalg.eigh(e @ e.T)
     keep = val > 1e-6 * val.max()
-    root = vec[:, keep] / np.sqrt(val[keep])
-    basis = root.T @ e  # rows: orthonormal directions in subsequence space
+    basis = (vec[:, keep] / np.sqrt(val[keep])).T @ e  # rows: orthonormal directions in subsequence space
+
+    wide = np.concatenate([basis.T, np.zeros((1, len(basis)))]).astype(np.float32)
 
     def features(words):
-        return np.concatenate([embed(words[i : i + 256]).astype(np.float64) @ basis.T for i in range(0, len(words), 256)])
+        out = np.zeros((len(words), len(basis)))
+        for n, at in by_length(words):
+            c, wt = subsequences([words[i] for i in at], n)
+            col = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+            col = np.where(codes[col] == c, col, len(codes))
+            for t in range(c.shape[1]):
+                out[at] += wt[t] * wide[col[:, t]]
+        return out
 
     x = np.concatenate([features(pos), features(neg)])
     y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-    c = np.where(y > 0, 30.0 / max(1, len(pos)) * 10, 30.0 / max(1, len(neg)) * 10)
-    w, b = svm(x, y, c)
-    return SubsequenceSVM((w @ basis).astype(np.float32), b)
+    w, b = svm(x, y, np.where(y > 0, POSITIVE, NEGATIVE))
+    u = np.zeros(CODES, np.float32)
+    u[codes] = w @ basis
+    return SubsequenceSVM(u, b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, modulus: int, held_out: int) -> SubsequenceSVM | None:
@@ -196,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
 
     def spread(words: list[str], most: int) -> list[str]:
         """Greedily, words that are not yet close to a chosen one."""
-        e = embed(words[:600])
+        e = embed(words[:1200], codes_in(words[:1200]))
         chosen: list[int] = []
         for i in range(len(e)):
             if len(chosen) < most and (not chosen or float((e[chosen] @ e[i]).max()) < 0.85):
