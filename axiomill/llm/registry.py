@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality, token_files, topk, toxicity, url_filters
+from . import decontaminate, language_id, quality, suffix_dedup, token_files, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_token_files": token_files.query,
     "op4_language_id": language_id.query,
     "op5_toxicity": toxicity.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_suffix_dedup": suffix_dedup.SQL,
     "op7_url_filters": url_filters.SQL,
     "op8_exact_topk": topk.SQL,
     "op10_decontaminate": decontaminate.SQL,
