@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality, suffix_dedup, token_files, topk, toxicity, url_filters
+from . import decontaminate, language_id, minhash_dedup, quality, suffix_dedup, token_files, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_files.query,
     "op4_language_id": language_id.query,
     "op5_toxicity": toxicity.query,
+    "op6_minhash_dedup": minhash_dedup.query,
     "op7_url_filters": url_filters.query,
     "op8_exact_topk": topk.query,
     "op10_decontaminate": decontaminate.query,
@@ -17,6 +18,7 @@ QUERIES = {
 
 SQL = {
     "op2_suffix_dedup": suffix_dedup.SQL,
+    "op6_minhash_dedup": minhash_dedup.SQL,
     "op7_url_filters": url_filters.SQL,
     "op8_exact_topk": topk.SQL,
     "op10_decontaminate": decontaminate.SQL,
