@@ -189,8 +189,8 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str):
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the text if kept).
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in a verbatim occurrence of a window of ``size`` words of an item (an item of fewer words is one window).
     Null texts have no words; null items or items without words take no part; repeated rows are judged
@@ -221,13 +221,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         for pdf in batches:
             n = [int.from_bytes(h[:8], "little") for h in pdf["hit"]]
             k = [int(np.unpackbits(np.frombuffer(h, np.uint8)[8:]).sum()) for h in pdf["hit"]]
-            out = pd.DataFrame({
+            yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "n_words": n, "n_hit": k, "n_items": [len(x) for x in pdf["items"]],
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in pdf["items"]], "contaminated": [x > 0 for x in k],
             })
-            yield out.assign(text=pdf["text"]) if keep_text else out
 
-    return df.mapInPandas(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", text string" * keep_text)
+    return df.mapInPandas(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that share no window of ``size`` words (or whole shorter item) with the benchmark; all their columns."""
+    spark = docs.sparkSession
+    arrow_rows(spark, 1024)
+    for items in blocks_of(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(TestSuffixes(items, size))
+
+        def run(batches, shared=shared):
+            test = shared.value
+            for pdf in batches:
+                clean = [not mask.any() for _, mask, _ in judge([encoded(t) for t in pdf[text_col]], test)]
+                yield pdf.loc[clean]
+
+        docs = docs.mapInPandas(run, docs.schema)
+    return docs
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_rows, crc_mod, table
 from .labelled import labelled_sample
@@ -209,8 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     return vocab, vectors, net
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1), predicted (score >= threshold), and the columns in ``keep``.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", modulus: int = 4, held_out: int = 2, threshold: float = 0.7, keep: tuple[str, ...] | None = None, names: tuple[str, str, str] = ("held_out", "score", "predicted")) -> DataFrame:
+    """Per document: doc_id, held_out, score (0 to 1), predicted (score >= threshold); or the columns in ``keep`` and those three,
+    under ``names`` that do not clash with them.
 
     Labels of rows whose crc32(id) mod ``modulus`` is ``held_out`` are never used. Null and empty texts are pooled to the zero vector and scored as such;
     if labels of only one class (or none) can be learned from every score is 1. Whole texts are scored, repeated rows each; other columns are not read.
@@ -219,17 +221,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = fit(docs, labels, id_col, text_col, label, modulus, held_out)
     arrow_rows(spark, 512)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(F.col(id_col), modulus) == held_out).alias("held_out"), F.col(text_col).alias("__text"), *(F.col(c) for c in keep if c not in (id_col,)))
+    own = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
+    rows = docs.select(*own, (crc_mod(F.col(id_col), modulus) == held_out).alias(names[0]), F.col(text_col).alias("__text"))
 
     def run(batches):
         vocab, vectors, net = shared.value if shared.value is not None else (None, None, None)
         pooler = Pooler(vocab, vectors) if net else None
         for pdf in batches:
             s = net.probability(pooler(pdf["__text"].tolist()).astype(np.float64)) if net else np.ones(len(pdf))
-            yield pdf.drop(columns="__text").assign(score=s, predicted=(s >= threshold).astype(np.int32))
+            yield pdf.drop(columns="__text").assign(**{names[1]: s, names[2]: (s >= threshold).astype(np.int32)})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
-    return rows.mapInPandas(run, fields + ", score double, predicted int")
+    fields = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add(names[1], T.DoubleType()).add(names[2], T.IntegerType())
+    return rows.mapInPandas(run, fields)
 
 
 def query(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, minhash_dedup, quality, suffix_dedup, token_files, topk, toxicity, url_filters
+from . import decontaminate, language_id, minhash_dedup, nbest_pieces, quality, suffix_dedup, token_files, topk, toxicity, url_filters
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash_dedup": minhash_dedup.query,
     "op7_url_filters": url_filters.query,
     "op8_exact_topk": topk.query,
+    "op9_nbest_pieces": nbest_pieces.query,
     "op10_decontaminate": decontaminate.query,
 }
 

@@ -348,8 +348,9 @@ def window_marks(docs: DataFrame, marks: DataFrame, width: int, plan: Plan) -> D
     return sent.repartition(plan.tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(first, "part int, payload binary")
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with keep_text the remaining text).
+def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with keep_text the remaining text, and the columns in
+    ``keep``, whose names must differ from these).
 
     Every byte under a ``width``-byte string that also starts earlier (smaller id, or the same document further left) goes; strings are judged on
     the input. Null texts are empty; texts under ``width`` bytes lose nothing; rows with one id are one document's rivals in an order by
@@ -357,7 +358,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     longer form UTF-8 (a character cut in two) are dropped from the kept text, not from its digest.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("kept"))
     plan = Plan(base, width)
     n, ids = base.agg(F.count(F.lit(1)), F.count("real")).first()
     unique = n == ids and base.groupBy("real").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() == 0
@@ -365,7 +366,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         keyed = base.withColumn("key", F.col("real"))
     else:  # a key in the order of ids, then texts
         keyed = stash(base.repartitionByRange(plan.tasks, "real", "text").sortWithinPartitions("real", "text").withColumn("key", F.monotonically_increasing_id()), "keyed")
-    keyed = keyed.select(F.col("key").alias("doc_id"), F.pmod(F.xxhash64("key"), F.lit(plan.parts)).cast("int").alias("part"), "text", "real")
+    keyed = keyed.select(F.col("key").alias("doc_id"), F.pmod(F.xxhash64("key"), F.lit(plan.parts)).cast("int").alias("part"), "text", "real", "kept")
     body = keyed.select("doc_id", "part", "text")
     arrow_rows(spark, 512)
     marks = stash(repeated_marks(body, width, plan), "marks")
@@ -392,9 +393,10 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
     out = whole.mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    if not unique:
-        out = out.join(keyed.select("doc_id", "real"), "doc_id").drop("doc_id").withColumnRenamed("real", "doc_id")
-    return out.select(*names[:5], *(["text"] if keep_text else []))
+    if not unique or keep:  # the key is unique
+        out = out.join(keyed.select("doc_id", "real", "kept"), "doc_id").drop("doc_id").withColumnRenamed("real", "doc_id")
+    return out.select(*names[:5], *(["text"] if keep_text else []), *(F.col(f"kept.`{c}`") for c in keep))
+
 
 
 def query(spark, sf_dir):
