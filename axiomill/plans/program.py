@@ -98,7 +98,7 @@ class Program:
         edges: DataFrame | None = None
         for _ in range(self.max_rounds):
             self._memo = {}
-            found = [self.body(r.body, {}).select(self._term(r.head[1]).alias("a"), self._term(r.head[2]).alias("b")) for r in self.rules if r.head and r.head[0] == "eq" and self.possible(r.body)]
+            found = [self.merge_edges(r) for r in self.rules if r.head and r.head[0] == "eq" and self.possible(r.body)]
             if edges is None and ("eq",) in self.given:
                 found.append(self.given[("eq",)].select("a", "b"))
             if not found:
@@ -112,6 +112,22 @@ class Program:
             raise TooManyRounds(f"merging did not settle in {self.max_rounds} rounds")
         self._memo = {}
 
+    def merge_edges(self, r: Rule) -> DataFrame:
+        """(a, b) pairs that a rule equates. Where the rule says "two with the same keys", as functional roles and keys do, each is
+        paired with the least of its group, not with every other: rows stay in proportion to the facts."""
+        u, w = r.head[1:]
+        if isinstance(u, str) and isinstance(w, str) and u.startswith("?") and w.startswith("?"):
+            one, two = [a for a in r.body if u in a[1:]], [a for a in r.body if w in a[1:]]
+            if not any(w in a[1:] for a in one) and {tuple(u if t == w else t for t in a) for a in two} == set(one):
+                atoms = tuple(a for a in r.body if a not in two)
+                keys = sorted({t for a in atoms for t in a[1:] if isinstance(t, str) and t.startswith("?")} - {u})
+                members = self.body(atoms, {}).select(F.col(f"`{u}`").alias("a"), *(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))
+                if not keys:
+                    return members.select("a").join(members.agg(F.min("a").alias("b")))
+                least = members.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.min("a").alias("b"))
+                return members.join(least, [f"k{i}" for i in range(len(keys))]).select("a", "b")
+        return self.body(r.body, {}).select(self._term(u).alias("a"), self._term(w).alias("b"))
+
     def representative(self, iri: str) -> str:
         if self.same is None:
             return iri
@@ -126,7 +142,7 @@ class Program:
     def possible(self, body: tuple) -> bool:
         """Whether every atom has facts or rules at all: rules that cannot fire are not planned."""
         if not hasattr(self, "_live"):
-            live = {k for k in self.given} | {("thing",)}
+            live = {*self.given, ("thing",), ("c", THING.iri)}
             grown = True
             while grown:
                 grown = False
