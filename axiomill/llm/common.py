@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import time
 import uuid
 
 import numpy as np
@@ -35,13 +36,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stash(df: DataFrame, name: str, keep_order: bool = False) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stash(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    ``free``: what the step shuffled is large and no longer needed, so Spark's cleaner is given the time to drop those files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/axiomill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if free:
+        del df
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -149,3 +159,51 @@ def chunks(items: list, sizes, most: int):
 def encoded(text) -> bytes:
     """UTF-8 of a text; null is empty, lone surrogates cannot occur in Spark strings."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+_codec: dict = {}
+
+
+def codec(kind: str):
+    """One compressor and one decompressor for a worker: their buffers are large."""
+    if kind not in _codec:
+        import zstandard
+
+        _codec[kind] = zstandard.ZstdCompressor(level=1) if kind == "c" else zstandard.ZstdDecompressor()
+    return _codec[kind]
+
+
+def packed(rec: np.ndarray) -> bytes:
+    """Records column by column, compressed: what repeats in a column costs little in a shuffle."""
+    return codec("c").compress(b"".join(np.ascontiguousarray(rec[k]).tobytes() for k in rec.dtype.names))
+
+
+def unpacked(payloads: list[bytes], kind: np.dtype) -> np.ndarray:
+    parts = []
+    for p in payloads:
+        b = codec("d").decompress(p)
+        n, at = len(b) // kind.itemsize, 0
+        out = np.empty(n, kind)
+        for k in kind.names:
+            size = kind[k].itemsize * n
+            out[k] = np.frombuffer(b, kind[k], n, at)
+            at += size
+        parts.append(out)
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+class Interner(dict):
+    """Numbers strings in order of first sight; ``fresh`` lists those not yet taken up. One look-up a word."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+    def take(self) -> list[str]:
+        out, self.fresh = self.fresh, []
+        return out

@@ -8,7 +8,7 @@ that equal windows select the same place. Every window then belongs to one selec
    (leading bytes, then the run's whole text) and neighbours compared. A run whose whole text came earlier is repeated
    entirely. A suffix whose leading bytes occur once is not repeated at all.
 2. What is left - the first run of each text among several that share leading bytes, as at the ends of a
-   repeated passage - is compared window by window, across runs and buckets, by 128-bit keys.
+   repeated passage - is compared window by window, across runs and buckets, by 96-bit keys.
 
 Tasks drop repeats of their own before they send anything, so a passage that a third of all rows share is sent
 once by a task. Only positions and hashes travel between tasks; each task reads what concerns its documents beside them.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, arrow_rows, encoded, input_bytes, stash, table
+from .common import Prefix, arrow_rows, encoded, input_bytes, packed, stash, table, unpacked
 
 #: leading bytes of a suffix that select and partition it
 LEAD = 32
@@ -32,7 +32,7 @@ LEAD = 32
 PIECE_BYTES, SPLIT_DOCS = 1 << 20, 400
 RUN = np.dtype([("kh", "<u8"), ("eh", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4"), ("n", "<u2")])
 MARK = np.dtype([("doc", "<i8"), ("s", "<u4"), ("n", "<u2"), ("kind", "u1")])
-WIN = np.dtype([("wh", "<u8"), ("kh", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4")])
+WIN = np.dtype([("wh", "<u8"), ("kh", "<u4"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4")])
 
 
 def selected(buf: np.ndarray, n_windows: int, width: int):
@@ -163,7 +163,7 @@ def by_part(marks: np.ndarray, part: np.ndarray):
     marks, part = marks[order], part[order]
     cut = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1)).tolist()
     for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
-        yield int(part[a]), marks[a:b].tobytes()
+        yield int(part[a]), packed(marks[a:b])
 
 
 def covered(n: int, marks: np.ndarray, width: int) -> np.ndarray:
@@ -184,7 +184,7 @@ class Plan:
         spark = docs.sparkSession
         size = input_bytes(docs)
         self.tasks = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(size / (12 << 20)))))
-        self.parts, self.buckets = 4 * self.tasks, 4 * self.tasks
+        self.parts = self.buckets = self.tasks
         n = max(1, docs.count())
         arrow_rows(spark, 256)
 
@@ -222,12 +222,14 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 again = np.zeros(len(r), bool)
                 again[1:] = (r["kh"][1:] == r["kh"][:-1]) & (r["eh"][1:] == r["eh"][:-1])
                 rows += [(p % buckets, p, m) for p, m in by_part(*marks_of(r, again, REPEATED))]
-                keep = rec[order[~again]]
-                b = np.searchsorted(splitters.value, keys[order[~again]], side="right")
+                stay = np.zeros(len(rec), bool)
+                stay[order[~again]] = True
+                keep = rec[stay]  # in document order, which compresses
+                b = np.searchsorted(splitters.value, keys[stay], side="right")
                 o = np.argsort(b, kind="stable")
                 keep, b = keep[o], b[o]
                 cut = np.flatnonzero(np.diff(b, prepend=-1))
-                rows += [(int(b[x]), -1, keep[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)]
+                rows += [(int(b[x]), -1, packed(keep[x:y])) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)]
                 yield pd.DataFrame(rows, columns=["bucket", "part", "payload"])
 
     def sort_buckets(batches):
@@ -235,16 +237,17 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
         at, held = None, []
 
         def flush():
-            rec = np.frombuffer(b"".join(held), RUN)
+            rec = unpacked(held, RUN)
             repeated, open_ = decide(rec)
             rows = [*by_part(*marks_of(rec, repeated, REPEATED)), *by_part(*marks_of(rec, open_, OPEN))]
             return pd.DataFrame(rows, columns=["part", "payload"])
 
         for pdf in batches:
-            for b, p, payload in zip(pdf["bucket"].tolist(), pdf["part"].tolist(), pdf["payload"], strict=True):
-                if p >= 0:
-                    yield pd.DataFrame({"part": [p], "payload": [payload]})
-                    continue
+            done = pdf["part"] >= 0
+            if done.any():
+                yield pdf.loc[done, ["part", "payload"]]
+            pdf = pdf[~done]
+            for b, payload in zip(pdf["bucket"].tolist(), pdf["payload"], strict=True):
                 if b != at and held:
                     yield flush()
                     held = []
@@ -274,7 +277,7 @@ def with_marks(batches):
                 held.append(payload)
                 continue
             if own is None:
-                m = np.frombuffer(b"".join(held), MARK)
+                m = unpacked(held, MARK)
                 m = m[np.argsort(m["doc"], kind="stable")]
                 cut = np.flatnonzero(np.diff(m["doc"], prepend=m["doc"][0] - 1)).tolist() if len(m) else []
                 own = {int(m["doc"][a]): m[a:b] for a, b in zip(cut, [*cut[1:], len(m)], strict=False)}
@@ -292,10 +295,10 @@ def window_marks(docs: DataFrame, marks: DataFrame, width: int, plan: Plan) -> D
         def pack():
             w = np.concatenate(out)
             b = (w["wh"] % np.uint64(buckets)).astype(np.int64)
-            o = np.lexsort((w["s"], w["doc"], w["kh"], w["wh"], b))
+            o = np.argsort(b, kind="stable")  # within a bucket in document order, which compresses
             w, b = w[o], b[o]
             cut = np.flatnonzero(np.diff(b, prepend=-1))
-            return pd.DataFrame([(int(b[x]), w[x:y].tobytes()) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)], columns=["bucket", "payload"])
+            return pd.DataFrame([(int(b[x]), packed(w[x:y])) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)], columns=["bucket", "payload"])
 
         for part, doc, text, m in with_marks(batches):
             m = m[m["kind"] == OPEN] if m is not None else ()
@@ -311,7 +314,7 @@ def window_marks(docs: DataFrame, marks: DataFrame, width: int, plan: Plan) -> D
                 s = np.repeat(own["s"].astype(np.int64) - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 w = np.zeros(len(s), WIN)
                 # two hashes of the same 100 bytes: whole, and of the halves crossed
-                w["wh"], w["kh"] = p.of(s, s + width), p.of(s, s + width // 2) * np.uint64(3) + p.of(s + width // 2, s + width)
+                w["wh"], w["kh"] = p.of(s, s + width), (p.of(s, s + width // 2) * np.uint64(3) + p.of(s + width // 2, s + width)) >> np.uint64(32)
                 w["doc"], w["part"], w["s"] = doc, part, s + at
                 out.append(w)
                 total += len(w)
@@ -325,7 +328,7 @@ def window_marks(docs: DataFrame, marks: DataFrame, width: int, plan: Plan) -> D
         at, held = None, []
 
         def flush():
-            w = np.frombuffer(b"".join(held), WIN)
+            w = unpacked(held, WIN)
             o = multikey_order(w["wh"], w["kh"], w["doc"], w["s"])
             w = w[o]
             again = np.zeros(len(w), bool)
@@ -369,8 +372,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     keyed = keyed.select(F.col("key").alias("doc_id"), F.pmod(F.xxhash64("key"), F.lit(plan.parts)).cast("int").alias("part"), "text", "real", "kept")
     body = keyed.select("doc_id", "part", "text")
     arrow_rows(spark, 512)
-    marks = stash(repeated_marks(body, width, plan), "marks")
-    fine = window_marks(body, marks.where(F.length("payload") > 0), width, plan)
+    marks = stash(repeated_marks(body, width, plan), "marks", free=True)
+    fine = stash(window_marks(body, marks, width, plan), "fine", free=True)
     whole = beside(body, marks.unionByName(fine), plan)
 
     def finish(batches):
