@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import Interner, arrow_rows, table
 
 MARK = "▁"
 #: longest unit searched at once (longer words are cut there) and longest piece, in characters
 UNIT, PIECE = 24, 16
-CACHED = 250_000
+CACHED = 400_000
 NEVER = -1e18
 
 
@@ -96,13 +96,17 @@ def raw(ch: str) -> str:
     return MARK if ch == OWN_MARK else ch
 
 
+#: parts units in a text; a lone surrogate as well
+CUT = "\udc82"
+
+
 def words_in(text: str) -> list[str]:
-    """Units: each space's mark begins one; units over UNIT characters are cut."""
-    if OWN_MARK in text or MARK in text:
+    """Units: each space's mark and each line break begins one (no piece holds either further on); units over UNIT characters are cut."""
+    if MARK in text:
         text = text.replace(MARK, OWN_MARK)
-    parts = text.split(" ")
-    units = parts[:1] if parts[0] else []
-    units += [MARK + p for p in parts[1:]]
+    units = text.replace(" ", CUT + MARK).replace("\n", CUT + "\n").split(CUT)
+    if not units[0]:
+        del units[0]
     return units if max(map(len, units), default=0) <= UNIT else [u[i : i + UNIT] for u in units for i in range(0, len(u), UNIT)]
 
 
@@ -150,13 +154,14 @@ class Lattices:
             for c in p:
                 h = (h * int(self.step) + ord(c) + 1) & (2**64 - 1)
             keys[i] = h
+        self.ascii = np.array([vocab.byte[b] for b in range(128)])  # the byte pieces of one-byte characters
         o = np.argsort(keys)
         self.keys, self.piece = keys[o], np.array([vocab.ids[names[i]] for i in o])
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(keys >> np.uint64(44)).astype(np.int64)] = True
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """(best score, margin to the second best, ids of the best) of each word."""
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(best score, margin to the second best, 32-bit ids of the best) of each word."""
         n = len(words)
         cp = np.array(words, dtype=f"U{UNIT}").view(np.uint32).reshape(n, UNIT).astype(np.uint64)
         size = (cp > 0).sum(axis=1)
@@ -188,30 +193,28 @@ class Lattices:
                     none = live[~single[live]]
                     if len(none):
                         cost = self.vocab.byte_score * np.array([len(raw(chr(int(x))).encode("utf-8", "surrogatepass")) for x in cp[none, i]])
-                        self.relax(one, two, back, kind, i, 1, none, np.full(len(none), -2), cost)
+                        self.relax(one, two, back, kind, i, 1, none, np.where(cp[none, i] < 128, self.ascii[np.minimum(cp[none, i], 127).astype(np.int64)], -2), cost)
                 self.relax(one, two, back, kind, i, d, rows, piece, self.vocab.score[piece])
         rest = np.arange(n)
         top, margin = one[size, rest], one[size, rest] - two[size, rest]
-        ids: list = [None] * n
         at = size.copy()
         chain = []
         while (at > 0).any():
             live = np.flatnonzero(at > 0)
             chain.append((live, at[live] - back[at[live], live], kind[at[live], live]))
             at[live] = at[live] - back[at[live], live]
-        parts: list[list] = [[] for _ in range(n)]
-        for live, start, k in chain:
-            for w, s, x in zip(live.tolist(), start.tolist(), k.tolist(), strict=True):
-                if x >= 0:
-                    parts[w].append(x)
-                else:
-                    parts[w] += [self.vocab.byte[b] for b in reversed(raw(words[w][s]).encode("utf-8", "surrogatepass"))]
-        for w in range(n):
-            ids[w] = parts[w][::-1]
-        for w in odd:  # rare: searched one by one
+        # back pointers gathered step by step, then put in reading order for all words at once
+        word = np.concatenate([c[0] for c in chain]) if chain else np.zeros(0, np.int64)
+        piece = np.concatenate([c[2] for c in chain]) if chain else np.zeros(0, np.int32)
+        step = np.repeat(np.arange(len(chain)), [len(c[0]) for c in chain])
+        order = np.lexsort((-step, word))
+        ends = (4 * np.cumsum(np.bincount(word, minlength=n))).tolist()
+        flat = piece[order].astype("<u4").tobytes()
+        ids = [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        for w in {*odd.tolist(), *np.unique(word[piece < 0]).tolist()}:  # characters of several byte pieces or a NUL: searched one by one
             found = n_best(self.vocab, words[w], 2)
             top[w], margin[w] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -NEVER
-            ids[w] = self.vocab.spell(words[w], found[0][1])
+            ids[w] = np.array(self.vocab.spell(words[w], found[0][1]), "<u4").tobytes()
         return top, margin, ids
 
     @staticmethod
@@ -234,30 +237,28 @@ class Segmenter:
         self.reset()
 
     def reset(self):
-        self.at: dict[str, int] = {}
-        self.ids: list[bytes] = []
+        self.at, self.ids = Interner(), []
         self.top, self.margin = np.zeros(0), np.zeros(0)
 
-    def prepare(self, split: list[list[str]]) -> None:
+    def prepare(self, split: list[list[str]]) -> list[list[int]]:
+        """The numbers of each text's words; words not seen before are searched."""
         if len(self.at) > CACHED:
             self.reset()
-        new = list({w for s in split for w in s if w not in self.at})
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            top, margin, ids = self.lattices(part)
-            base = len(self.ids)
-            self.at.update(zip(part, range(base, base + len(part)), strict=True))
-            self.ids += [np.array(x, "<u4").tobytes() for x in ids]
-            self.top, self.margin = np.concatenate([self.top, top]), np.concatenate([self.margin, margin])
+        out = [list(map(self.at.__getitem__, s)) for s in split]
+        new = self.at.take()
+        tops, margins = [self.top], [self.margin]
+        for a in range(0, len(new), 1 << 15):
+            top, margin, ids = self.lattices(new[a : a + (1 << 15)])
+            self.ids += ids
+            tops.append(top)
+            margins.append(margin)
+        self.top, self.margin = np.concatenate(tops), np.concatenate(margins)
+        return out
 
     @functools.lru_cache(20_000)  # noqa: B019
     def word_best(self, word: str) -> tuple:
         return tuple((s, tuple(self.vocab.spell(word, p))) for s, p in n_best(self.vocab, word, self.n))
 
-    def best(self, words: list[str]) -> tuple[bytes, np.ndarray]:
-        at = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        return b"".join([self.ids[i] for i in at.tolist()]), at
-
     def text_n_best(self, words: list[str], at: np.ndarray) -> list[tuple[float, dict[int, int]]]:
         """The n best of a text: (score, {word place: which of its segmentations}), best first."""
         base = float(self.top[at].sum())
@@ -281,9 +282,10 @@ class Segmenter:
         return out
 
 
-@functools.lru_cache(2)
-def vocabulary(model_path: str) -> Vocabulary:
-    return Vocabulary(model_path)
+@functools.lru_cache(1)
+def segmenter(model_path: str, n: int) -> Segmenter:
+    """A worker's segmenter: what one task has found serves the next."""
+    return Segmenter(Vocabulary(model_path), n)
 
 
 def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -294,20 +296,19 @@ def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "do
     characters are cut into units of 24). Other columns are not read.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_rows(spark, 2048)
 
     def run(batches):
-        vocab = vocabulary(model_path)
-        seg = Segmenter(vocab, n)
+        seg = segmenter(model_path, n)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
             split = [words_in(t) for t in texts]
-            seg.prepare(split)
+            places = seg.prepare(split)
             rows = []
-            for doc, text, words in zip(pdf["doc_id"].array, texts, split, strict=True):
-                b, at = seg.best(words)
+            for doc, text, words, at in zip(pdf["doc_id"].array, texts, split, places, strict=True):
+                b = b"".join(map(seg.ids.__getitem__, at))
                 ids = np.frombuffer(b, "<u4")
-                found = seg.text_n_best(words, at)
+                found = seg.text_n_best(words, np.array(at, np.int64))
                 row = [doc, len(words), len(ids), zlib.crc32(b), round(found[0][0], 6), [round(s, 6) for s, _ in found], seg_decode(seg, ids) == text]
                 if with_ids:
                     alt = [[x for p, w in enumerate(words) for x in (seg.word_best(w)[pick[p]][1] if p in pick else np.frombuffer(seg.ids[at[p]], "<u4").tolist())] for _, pick in found]
