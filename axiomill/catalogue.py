@@ -326,3 +326,71 @@ def incremental(spark, sf_dir):
     m = Materialized(Program(spark, compile_horn(axioms), {("r", V + "parent"): parent.where(even)}), [("c", V + "A")])
     m.insert({("r", V + "parent"): parent.where(~even)})
     return m.extension(("c", V + "A")).select("x")
+
+
+# ------------------------------------------------------------------ what rules alone do not decide
+
+FAMILY = [
+    axiom("SubObjectPropertyOf", V + "mother", V + "parent"), axiom("SubObjectPropertyOf", V + "parent", V + "ancestor"), axiom("TransitiveObjectProperty", V + "ancestor"),
+    axiom("InverseObjectProperties", V + "child", V + "parent"), axiom("DisjointUnion", V + "Person", V + "Adult", V + "Minor"), axiom("DisjointClasses", V + "Minor", V + "Driver"), sub("Driver", "Person"),
+    axiom("ObjectPropertyDomain", V + "parent", V + "Person"), axiom("FunctionalObjectProperty", V + "mother"),
+]
+CLAIMS = [
+    ("driver is adult", sub("Driver", "Adult"), True), ("adult is driver", sub("Adult", "Driver"), False), ("mother of parent is ancestor", axiom("SubObjectPropertyChain", [V + "mother", V + "parent"], V + "ancestor"), True),
+    ("child is inverse of parent", axiom("InverseObjectProperties", V + "child", V + "parent"), True), ("parent is transitive", axiom("TransitiveObjectProperty", V + "parent"), False),
+    ("mothers are persons' own", axiom("ObjectPropertyDomain", V + "mother", V + "Person"), True), ("one mother", sub(E.Min(2, R("mother")), E.NOTHING), True), ("ancestor is functional", axiom("FunctionalObjectProperty", V + "ancestor"), False),
+]
+
+
+@other("q39_entailments", "SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', '{str(v).lower()}')" for n, _, v in CLAIMS) + ") AS t(claim, verdict)")
+def entailments(spark, sf_dir):
+    from .reasoner import Reasoner
+
+    found = Reasoner(FAMILY, spark=spark).entailments_frame([a for _, a, _ in CLAIMS])
+    names = spark.createDataFrame([(i, n) for i, (n, _, _) in enumerate(CLAIMS)], "seq int, claim string")
+    return found.join(names, "seq").select("claim", F.col("entailed").cast("string").alias("verdict"))
+
+
+@other("q40_disjunction", "SELECT 'urn:x/orders/' || o_orderkey AS x FROM orders WHERE o_orderstatus = 'P'")
+def disjunction(spark, sf_dir):
+    """Orders are open, filled or pending: one that is neither open nor filled is pending."""
+    from .operators.kernel import KB, types_by_profile
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(node("orders", "o_orderkey").alias("x"), "o_orderstatus")
+    rows = o.select("x", F.lit(V + "Order").alias("cls"), F.lit(True).alias("positive"))
+    for cls, letter in (("Open", "O"), ("Filled", "F")):
+        rows = rows.unionByName(o.where(F.col("o_orderstatus") != letter).select("x", F.lit(V + cls).alias("cls"), F.lit(False).alias("positive")))
+    return types_by_profile(KB([axiom("DisjointUnion", V + "Order", V + "Open", V + "Filled", V + "Pending")]), rows, C("Pending"))
+
+
+@other("q41_counting", "SELECT 'urn:x/nation/' || s_nationkey AS x FROM supplier GROUP BY s_nationkey HAVING count(DISTINCT s_suppkey) > 2")
+def counting(spark, sf_dir):
+    """Nations with at most two headquarters that have three or more different ones: at most n + 1 fillers of each need a test."""
+    from .operators.kernel import KB, test
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    kb = KB([sub(E.THING, E.Max(2, R("hasHQ")))])
+    few = s.groupBy("s_nationkey").agg(F.least(F.count_distinct("s_suppkey"), F.lit(3)).alias("fillers"))
+    sizes = {}
+    for n in range(1, 4):
+        fillers = [E.Individual(f"urn:f{i}") for i in range(n)]
+        facts = [("ObjectPropertyAssertion", (R("hasHQ"), E.Individual("urn:n"), f)) for f in fillers] + ([("DifferentIndividuals", tuple(fillers))] if n > 1 else [])
+        sizes[n] = test(kb, None, facts)
+    clash_at = [n for n, ok in sizes.items() if not ok]
+    return few.where(F.col("fillers").isin(clash_at)).select(node("nation", "s_nationkey").alias("x"))
+
+
+_ANIMALS = [
+    sub("Cat", "Pet"), sub("Dog", "Pet"), axiom("EquivalentClasses", C("Pet"), Or((C("Cat"), C("Dog")))), axiom("DisjointClasses", V + "Cat", V + "Dog"),
+    sub("Guard", "Pet"), sub("Guard", E.Not(C("Cat"))), sub("Purring", And((C("Pet"), E.Not(C("Dog"))))), sub("Both", And((C("Cat"), C("Dog")))),
+]
+
+
+@other("q42_classification", "SELECT 'urn:v#' || c AS child, 'urn:v#' || p AS parent FROM (VALUES ('Cat', 'Pet'), ('Dog', 'Pet'), ('Guard', 'Dog'), ('Purring', 'Cat')) AS t(c, p)")
+def classification(spark, sf_dir):
+    """A hierarchy with disjunctions: model labels first, remaining tests by the kernel."""
+    from .reasoner import Reasoner
+
+    h = Reasoner(_ANIMALS, spark=spark).class_hierarchy()
+    rows = [(g[0].iri, h.groups[p][0].iri) for i, g in enumerate(h.groups) for p in h.parents[i] if E.THING not in h.groups[p] and E.NOTHING not in g]
+    return spark.createDataFrame(rows, "child string, parent string")
