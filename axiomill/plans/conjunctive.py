@@ -71,7 +71,8 @@ def answer(program: Program, spec: dict, check: bool = True) -> DataFrame:
     an empty body, or an answer variable that no atom binds.
     """
     atoms = atoms_of(spec["where"])
-    order = list(dict.fromkeys(t for a in atoms for t in a[1:] if isinstance(t, str) and t.startswith("?")))
+    given = [term(t) for a in spec["where"] for t in (a["different_from"] if "different_from" in a else [a[k] for k in ("arg", "subject", "object", "value") if k in a])]
+    order = list(dict.fromkeys(t for t in given if isinstance(t, str) and t.startswith("?")))
     select = [term(t) for t in spec["select"]] if spec.get("select") is not None else order
     for t in select:
         if isinstance(t, str) and t not in order:
