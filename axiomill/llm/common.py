@@ -62,8 +62,9 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a frame, from file sizes: cheap, no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size of a frame, from file sizes: cheap, no job. 0 where it has none (frames that are not read from files)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 52 else 0
 
 
 def partitions_for(df: DataFrame, mb: int = 16) -> int:
@@ -207,3 +208,13 @@ class Interner(dict):
     def take(self) -> list[str]:
         out, self.fresh = self.fresh, []
         return out
+
+
+def trim() -> None:
+    """Give a worker's freed memory back: workers live on from stage to stage."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

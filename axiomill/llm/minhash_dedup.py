@@ -4,7 +4,7 @@ Two small collections of half-keys (each of ``ROWS`` minhashes) form SIDE x SIDE
 serve SIDE**2 tables of 2 * ROWS rows. Texts with equal shingle sets are one class from the start.
 Classes that share a table key are candidates. They are compared with one pivot of their bucket
 at a time - never all pairs of a bucket - and only while their bucket holds several components; what is left after the pivots
-is compared exactly, across components only.
+is compared across components only, through an exact prefix filter.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, mix, stash, table, words_of
+from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, mix, stash, table, trim, words_of
 
 SHINGLE, SIDE, ROWS = 5, 12, 2
 #: rounds of pivots before the exact comparison of what is left; bytes of text hashed at once
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for i, h in zip(full, halves, strict=True):
                     rows[i] = h
                 yield pd.DataFrame({"doc_id": ids.iloc[at : at + len(part)].array, "n_shingles": [len(s) for s in sets], "f1": [p[0] for p in prints], "f2": [p[1] for p in prints], "halves": rows})
+        trim()
 
     return docs.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, halves array<long>")
 
@@ -132,13 +133,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     with nothing (component null, kept). An empty table gives no rows. Whole texts are used.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_rows(spark, 256)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = stash(signatures(base), "signatures")
     # texts with one set are one class, named by its smallest id
     cls = sig.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("v"), F.max("n_shingles").alias("n"), F.first("halves").alias("halves"))
     cls = stash(cls, "classes")
-    buckets = stash(tables(cls), "tables")
+    buckets = stash(centred(tables(cls)), "tables")
     # one representative text for each class that has a candidate
     wanted = buckets.select("v").distinct().join(cls.select("v", "f1", "f2", "n"), "v")
     sets = stash(candidate_sets(base, wanted, sig), "sets")
@@ -147,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labels = sets.select("v", F.col("v").alias("c")).distinct()
     for r in range(PIVOTS + 1):
         mixed = mixed_buckets(buckets, labels)
-        pairs = pivot_pairs(mixed, r) if r < PIVOTS else rest_pairs(mixed)
+        pairs = pivot_pairs(mixed, r) if r < PIVOTS else rest_pairs(mixed, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stash(pairs, "pairs")
@@ -185,6 +186,14 @@ def tables(cls: DataFrame) -> DataFrame:
     return keys.join(full, "key", "left_semi")
 
 
+def centred(entries: DataFrame) -> DataFrame:
+    """(key, v, w): with the number of entries that a class meets over all its buckets. Texts in the middle of a group of copies meet
+    most, and make the best pivots."""
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    meets = entries.join(sizes, "key").groupBy("v").agg(F.sum("k").alias("w"))
+    return entries.join(meets, "v").select("key", "v", "w")
+
+
 def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFrame:
     """(v, n, s): the whole set of each candidate class, from the text of its smallest id."""
 
@@ -203,7 +212,7 @@ def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFr
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, v, c) of the buckets that still hold several components."""
+    """(key, v, w, c) of the buckets that still hold several components."""
     now = buckets.join(labels, "v")
     several = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     return now.join(several, "key", "left_semi")
@@ -211,16 +220,40 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pivot_pairs(mixed: DataFrame, r: int) -> DataFrame:
     """One pair for each class: with the pivot of another component that it meets in most buckets."""
-    pivot = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("v", F.lit(r)).alias("h"), F.col("v").alias("p"), F.col("c").alias("pc"))).alias("z")).select("key", "z.p", "z.pc")
+    chance = F.lit(1.0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
+    pivot = mixed.groupBy("key").agg(F.max(F.struct((F.col("w") * chance).alias("h"), F.col("v").alias("p"), F.col("c").alias("pc"))).alias("z")).select("key", "z.p", "z.pc")
     met = mixed.join(pivot, "key").where("c <> pc").groupBy("v", "p").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("v").agg(F.max(F.struct("k", "p")).alias("z")).select("v", F.col("z.p").alias("p"))
     return best.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
 
 
-def rest_pairs(mixed: DataFrame) -> DataFrame:
-    """Every pair of classes in one bucket and different components."""
-    other = mixed.select("key", F.col("v").alias("w"), F.col("c").alias("d"))
-    return mixed.join(other, "key").where("c <> d and v < w").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+def rest_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of classes of different components in mixed buckets that can still be a link, by an exact prefix filter.
+
+    With shingles ordered from rare to frequent, two sets of that similarity share one of their first n - ceil(percent * n / 100) + 1. A text
+    that differs from its group in a quarter of its shingles has only shingles of its own there and meets nobody.
+    """
+    open_ = stash(mixed.select("v", "c").distinct().join(sets, "v"), "open")
+
+    def explode(batches):
+        for pdf in batches:
+            for v, s in zip(pdf["v"], pdf["s"], strict=True):
+                yield pd.DataFrame({"v": v, "t": unpack40(s).view(np.int64)})
+
+    shingles = stash(open_.select("v", "s").mapInPandas(explode, "v long, t long"), "shingles")
+    often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = shingles.join(often, "t").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    own = open_.select("v", "c", "n").join(own, "v")
+    # shingles that one text alone has come first; i is a shingle's place in its text's order
+    alone = F.col("n") - F.size("ts")
+    left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    x = own.where(left > 0).select("v", "c", "n", alone.alias("z"), F.posexplode(F.slice("ts", F.lit(1), left.cast("int"))).alias("p", "e")).select("v", "c", "n", (F.col("z") + F.col("p") + 1).alias("i"), "e.t")
+    y = x.select(F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), "t")
+    # at the first shingle that two texts share, what follows it in both must still hold the overlap that the link needs
+    need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
+    fits = (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    hit = x.join(y, (x["t"] == y["t"]) & (F.col("c") != F.col("d")) & (F.col("v") < F.col("w")) & fits)
+    return hit.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
 
 
 def query(spark, sf_dir):
