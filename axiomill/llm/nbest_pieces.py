@@ -164,8 +164,9 @@ class Lattices:
         """(best score, margin to the second best, 32-bit ids of the best) of each word."""
         n = len(words)
         cp = np.array(words, dtype=f"U{UNIT}").view(np.uint32).reshape(n, UNIT).astype(np.uint64)
+        odd = np.array([i for i, w in enumerate(words) if "\x00" in w], np.int64)  # NULs end a fixed-width string: searched one by one
+        cp[odd] = 0
         size = (cp > 0).sum(axis=1)
-        odd = np.flatnonzero(size != np.array([len(w) for w in words]))  # a NUL within or at the end
         one = np.full((UNIT + 1, n), NEVER)
         two = np.full((UNIT + 1, n), NEVER)
         back = np.full((UNIT + 1, n), -1, np.int8)
