@@ -7,6 +7,8 @@ document order and read back; a document's global offset is its shard's base plu
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 
@@ -16,12 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, partitions_for, stash, table
+from .common import Interner, arrow_rows, partitions_for, stash, table
 
 MAGIC = b"AXTF1"
 #: a shard is closed at this many ids or documents; words kept by a worker's encoder
-SHARD_IDS, SHARD_DOCS, CACHED = 1 << 19, 4096, 600_000
+SHARD_IDS, SHARD_DOCS, CACHED = 1 << 19, 4096, 700_000
 SAMPLE = 64
+DOUBLE = re.compile(r"\s\s")
+#: parts pieces in a text: a lone surrogate, which no valid text has
+CUT = "\udc82"
 
 
 class EliasFano:
@@ -118,10 +123,10 @@ class Shard:
 class Encoder:
     """Whole texts to ids, exactly as the tokenizers library, with the ids of frequent words kept.
 
-    The tokenizer's splitting pattern always cuts before a single space between two characters that are not
+    The tokenizer's splitting pattern always cuts before a single space or line break between two characters that are not
     white space, so the ids of a text are those of its pieces between such spaces. Pieces are looked
-    up. New pieces with that one space go to the library many at a time in one string, whose ids are cut again at
-    the tokens that begin with a space; others go one by one. Texts with a special token's string go to the library whole.
+    up. New pieces with one of these go to the library many at a time in one string, whose ids are cut again at
+    the tokens that begin with it; others go one by one. Texts with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -132,16 +137,17 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known, self.ids = Interner(), []
         self.cached = cached
         self.begins = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
-            self.begins[i] = piece.startswith("\u0120")  # how byte-level vocabularies write a space
+            self.begins[i] = piece.startswith(("\u0120", "\u010a"))  # how byte-level vocabularies write a space and a line break
 
     def pieces(self, text: str) -> list[str]:
+        if not DOUBLE.search(text):  # every space and line break stands alone: each begins a piece
+            parts = text.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT)
+            return parts if parts[0] else parts[1:]
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
@@ -151,47 +157,61 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(s in t for s in self.special) else self.pieces(t) for t in texts]
         if len(self.known) > self.cached:
-            self.known = {}
-        known = self.known
-        new = list({p for ps in split if ps is not None for p in ps if p not in known})
-        plain = [p for p in new if p[:1] == " " and p.find(" ", 1) < 0]
-        for at in range(0, len(plain), 64):
-            part = plain[at : at + 64]
-            ids = np.array(self.tok.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            self.known, self.ids = Interner(), []
+        number = self.known.__getitem__
+        split = [None if any(s in t for s in self.special) else list(map(number, self.pieces(t))) for t in texts]
+        self.learn(self.known.take())
+        return [
+            np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if at is None else np.frombuffer(b"".join(map(self.ids.__getitem__, at)), "<u4")
+            for t, at in zip(texts, split, strict=True)
+        ]
+
+    def learn(self, new: list[str]) -> None:
+        """Ids of new pieces, as bytes, in their order."""
+        base = len(self.ids)
+        self.ids += [None] * len(new)
+        plain = [i for i, p in enumerate(new) if len(p) > 1 and p[0] in " \n" and p.find(" ", 1) < 0 and p.find("\n", 1) < 0]
+        parts = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        found = self.tok.encode_batch_fast(["".join([new[i] for i in part]) for part in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):
+            ids = np.array(e.ids, "<u4")
             cuts = np.flatnonzero(self.begins[ids])
             if len(cuts) == len(part):
                 b, cuts = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
-                known.update((p, b[i:j]) for p, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
-        rest = [p for p in new if p not in known]
-        for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return [
-            np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if ps is None else np.frombuffer(b"".join([known[p] for p in ps]), "<u4")
-            for t, ps in zip(texts, split, strict=True)
-        ]
+                for i, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
+                    self.ids[base + i] = b[x:y]
+        rest = [i for i in range(len(new)) if self.ids[base + i] is None]
+        for i, e in zip(rest, self.tok.encode_batch([new[i] for i in rest], add_special_tokens=False), strict=True):
+            self.ids[base + i] = np.array(e.ids, "<u4").tobytes()
+
+
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder: what one task has learned serves the next."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored shards, in ascending id order: (part, seq, n_docs, n_ids, shard binary).
+    """The stored shards, in ascending id order: (part, seq, within, n_docs, n_ids, shard binary); ``within`` counts the ids of the part before the shard.
 
-    Null texts are empty (only the end id). Null ids come first; repeated ids follow each other, ordered by text hash. Texts are encoded whole.
+    Null texts are empty (only the end id). Null ids come first; repeated ids follow each other, ordered by text. Texts are encoded whole.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 256)
     parts = partitions_for(docs, 16)
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .withColumn("h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n, ids = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("doc_id")).first()
+    # ids are the key; only where many rows share one is a range cut by text too
+    keys = ["doc_id"] if ids > n / 2 else ["doc_id", "text"]
+    ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        enc, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
-        keys, lengths, ids, total = [], [], [], 0
+        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        keys, lengths, ids, total, within = [], [], [], 0, 0
 
         def close():
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [total], "shard": [write_shard(keys, lengths, np.concatenate(ids))]})
+            return pd.DataFrame({"part": [part], "seq": [seq], "within": [within], "n_docs": [len(keys)], "n_ids": [total], "shard": [write_shard(keys, lengths, np.concatenate(ids))]})
 
         end = np.array([end_id], "<u4")
         for pdf in batches:
@@ -203,12 +223,12 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
                 total += len(x) + 1
                 if total >= SHARD_IDS or len(keys) >= SHARD_DOCS:
                     yield close()
-                    seq += 1
+                    seq, within = seq + 1, within + total
                     keys, lengths, ids, total = [], [], [], 0
         if keys:
             yield close()
 
-    return stash(ordered.mapInPandas(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "tokens")
+    return stash(ordered.mapInPandas(run, "part int, seq int, within long, n_docs long, n_ids long, shard binary"), "tokens")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -221,23 +241,20 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     for r in totals:
         base[r["part"]] = at
         at += r["n"]
-    sizes = shards.select("part", "seq", "n_ids").withColumn("within", F.expr("sum(n_ids) OVER (PARTITION BY part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    placed = shards.join(sizes.select("part", "seq", F.coalesce("within", F.lit(0)).alias("within")), ["part", "seq"]).select("part", "within", "shard")
-
     def run(batches):
         for pdf in batches:
             for t in pdf.itertuples(index=False):
                 s = Shard(t.shard)
                 ends = s.ends.all()
                 starts = np.concatenate(([0], ends[:-1]))
-                wide = s.ids.astype("<u4")
+                wide = memoryview(s.ids.astype("<u4")).cast("B")
                 yield pd.DataFrame({
                     "doc_id": pd.array(s.keys, dtype="Int64").copy() if not s.nulls.any() else pd.array([None if z else int(k) for k, z in zip(s.keys, s.nulls, strict=True)], dtype="Int64"),
                     "start": base[t.part] + int(t.within) + starts, "n_tokens": ends - starts,
-                    "ids_crc32": np.array([zlib.crc32(wide[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], np.int64),
+                    "ids_crc32": np.array([zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64),
                 })
 
-    return placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "within", "shard").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir):
