@@ -86,3 +86,12 @@ def answer(program: Program, spec: dict, check: bool = True) -> DataFrame:
     if not select:
         return found.select(F.lit("true").alias("holds")).limit(1)
     return found.select(*(program._term(t).alias(t[1:] if isinstance(t, str) else f"c{i}") for i, t in enumerate(select))).distinct()
+
+
+def each(program: Program, spec: dict, collect, check: bool = True) -> int:
+    """Hand every answer row to ``collect``, partition by partition, without holding them all; the number of rows."""
+    n = 0
+    for row in answer(program, spec, check).toLocalIterator():
+        collect(tuple(row))
+        n += 1
+    return n

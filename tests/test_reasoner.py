@@ -291,3 +291,13 @@ def test_values_and_facets():
     assert facet_holds("totalDigits", lit(3), lit("012.3", XSD + "decimal")) is True and facet_holds("fractionDigits", lit(1), lit("1.25", XSD + "decimal")) is False
     assert member(RangeNot(Datatype("urn:u")), lit(1)) is None
     assert All and DataSome and Min and OneOf
+
+
+def test_model_description_and_answers_one_by_one(spark):
+    r = Reasoner([ax("SubClassOf", A, Some(Role(N + "R"), B)), ax("ClassAssertion", A, "a"), ax("SameIndividual", "a", "b")], spark=spark)
+    text = r.describe_model()
+    assert "a=b: urn:A" in text and "  urn:R -> _" in text
+    from axiomill.plans.conjunctive import each
+
+    got = []
+    assert each(r.program(), {"where": [{"class": N + "A", "arg": "?x"}]}, got.append) == 1 and got == [("a",)]
