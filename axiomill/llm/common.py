@@ -218,3 +218,20 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library keeps its own counsel
         pass
+
+
+_kept: list = []
+
+
+def kept(maker):
+    """Mark a cached maker whose product a worker keeps between tasks; ``release`` drops it."""
+    _kept.append(maker)
+    return maker
+
+
+def release() -> None:
+    """Called where another operator's tasks begin: workers live on from stage to stage, what they kept need not."""
+    if any(m.cache_info().currsize for m in _kept):
+        for m in _kept:
+            m.cache_clear()
+        trim()

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, table, words_of
+from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, release, table, words_of
 
 #: bytes of documents in one suffix array; bytes of benchmark text that are broadcast at once (larger benchmarks go block by block)
 SHARD_BYTES, BLOCK_BYTES = 2 << 20, 32 << 20
@@ -204,6 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
         shared = spark.sparkContext.broadcast(TestSuffixes(items, size))
 
         def run(batches, shared=shared):
+            release()
             test = shared.value
             for pdf in batches:
                 found = judge([encoded(t) for t in pdf["text"]], test)
@@ -237,6 +238,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, t
         shared = spark.sparkContext.broadcast(TestSuffixes(items, size))
 
         def run(batches, shared=shared):
+            release()
             test = shared.value
             for pdf in batches:
                 clean = [not mask.any() for _, mask, _ in judge([encoded(t) for t in pdf[text_col]], test)]
@@ -255,6 +257,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str =
         shared = spark.sparkContext.broadcast(TestSuffixes(items, size))
 
         def run(batches, shared=shared):
+            release()
             test = shared.value
             for pdf in batches:
                 texts = [encoded(t) for t in pdf["text"]]

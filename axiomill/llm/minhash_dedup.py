@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, mix, stash, table, trim, words_of
+from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, mix, release, stash, table, trim, words_of
 
 SHINGLE, SIDE, ROWS = 5, 12, 2
 #: rounds of pivots before the exact comparison of what is left; bytes of text hashed at once
-PIVOTS, CHUNK = 4, 1 << 20
+PIVOTS, CHUNK = 4, 1 << 19
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
 _r = np.random.default_rng(77)
@@ -75,6 +75,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, halves array<long>)."""
 
     def run(batches):
+        release()
         for pdf in batches:
             texts, ids = [encoded(t) for t in pdf["text"]], pdf["doc_id"]
             for at, part in chunks(texts, [len(t) + 1 for t in texts], CHUNK):
@@ -133,7 +134,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     with nothing (component null, kept). An empty table gives no rows. Whole texts are used.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
+    arrow_rows(spark, 128)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sig = stash(signatures(base), "signatures")
     # texts with one set are one class, named by its smallest id

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, arrow_rows, table
+from .common import Interner, arrow_rows, kept, table
 
 MARK = "▁"
 #: longest unit searched at once (longer words are cut there) and longest piece, in characters
@@ -238,7 +238,7 @@ class Segmenter:
         self.reset()
 
     def reset(self):
-        self.at, self.ids = Interner(), []
+        self.at, self.ids, self.best_of = Interner(), [], {}
         self.top, self.margin = np.zeros(0), np.zeros(0)
 
     def prepare(self, split: list[list[str]]) -> list[list[int]]:
@@ -256,9 +256,13 @@ class Segmenter:
         self.top, self.margin = np.concatenate(tops), np.concatenate(margins)
         return out
 
-    @functools.lru_cache(20_000)  # noqa: B019
     def word_best(self, word: str) -> tuple:
-        return tuple((s, tuple(self.vocab.spell(word, p))) for s, p in n_best(self.vocab, word, self.n))
+        """A word's n best (score, ids). Kept in the segmenter itself, so that they go with it."""
+        if word not in self.best_of:
+            if len(self.best_of) > 20_000:
+                self.best_of = {}
+            self.best_of[word] = tuple((s, tuple(self.vocab.spell(word, p))) for s, p in n_best(self.vocab, word, self.n))
+        return self.best_of[word]
 
     def text_n_best(self, words: list[str], at: np.ndarray) -> list[tuple[float, dict[int, int]]]:
         """The n best of a text: (score, {word place: which of its segmentations}), best first."""
@@ -283,6 +287,7 @@ class Segmenter:
         return out
 
 
+@kept
 @functools.lru_cache(1)
 def segmenter(model_path: str, n: int) -> Segmenter:
     """A worker's segmenter: what one task has found serves the next."""

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, crc_mod, table
+from .common import arrow_rows, crc_mod, release, table, trim
 from .labelled import labelled_sample
 
 DIM, NONZERO, HIDDEN, EPOCHS = 64, 8, 24, 400
 #: bounds of the fit: labelled rows of each class (expected) and words with vectors
 FIT_ROWS, VOCABULARY = 3000, 20_000
-CACHED = 250_000
+CACHED = 60_000
 PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 AGAIN, UNKNOWN = "<again>", "<unknown>"
 
@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     arrow_rows(spark, 256)
 
     def count(batches):
+        release()
         for pdf in batches:
             c: Counter = Counter()
             for t in pdf["text"]:
@@ -219,17 +220,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     model = fit(docs, labels, id_col, text_col, label, modulus, held_out)
-    arrow_rows(spark, 512)
+    arrow_rows(spark, 128)
     shared = spark.sparkContext.broadcast(model)
     own = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
-    rows = docs.select(*own, (crc_mod(F.col(id_col), modulus) == held_out).alias(names[0]), F.col(text_col).alias("__text"))
+    body = text_col if keep is not None and text_col in keep else "__text"  # a kept text is not sent twice
+    rows = docs.select(*own, (crc_mod(F.col(id_col), modulus) == held_out).alias(names[0]), *([F.col(text_col).alias(body)] if body == "__text" else []))
 
     def run(batches):
+        release()
         vocab, vectors, net = shared.value if shared.value is not None else (None, None, None)
         pooler = Pooler(vocab, vectors) if net else None
         for pdf in batches:
-            s = net.probability(pooler(pdf["__text"].tolist()).astype(np.float64)) if net else np.ones(len(pdf))
-            yield pdf.drop(columns="__text").assign(**{names[1]: s, names[2]: (s >= threshold).astype(np.int32)})
+            s = net.probability(pooler(pdf[body].tolist()).astype(np.float64)) if net else np.ones(len(pdf))
+            out = pdf.assign(**{names[1]: s, names[2]: (s >= threshold).astype(np.int32)})
+            yield out.drop(columns="__text") if body == "__text" else out
+        del pooler
+        trim()
 
     fields = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add(names[1], T.DoubleType()).add(names[2], T.IntegerType())
     return rows.mapInPandas(run, fields)

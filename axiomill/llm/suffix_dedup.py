@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, arrow_rows, encoded, input_bytes, packed, stash, table, unpacked
+from .common import Prefix, arrow_rows, encoded, input_bytes, packed, release, stash, table, unpacked
 
 #: leading bytes of a suffix that select and partition it
 LEAD = 32
@@ -209,6 +209,7 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
 
     def send(batches):
         """Runs of each batch, packed by bucket; what repeats within the batch is decided here and forwarded."""
+        release()
         for pdf in batches:
             part_of = dict(zip(pdf["doc_id"].tolist(), pdf["part"].tolist(), strict=True))
             for g in groups(zip(pdf["doc_id"].tolist(), map(encoded, pdf["text"]), strict=True), width):

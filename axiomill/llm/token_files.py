@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, arrow_rows, partitions_for, stash, table
+from .common import Interner, arrow_rows, kept, partitions_for, stash, table
 
 MAGIC = b"AXTF1"
 #: a shard is closed at this many ids or documents; words kept by a worker's encoder
@@ -186,6 +186,7 @@ class Encoder:
             self.ids[base + i] = np.array(e.ids, "<u4").tobytes()
 
 
+@kept
 @functools.lru_cache(1)
 def encoder(path: str) -> Encoder:
     """A worker's encoder: what one task has learned serves the next."""
