@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-Texts are written with word marks for spaces; pieces never cross a mark, so a text is a row of words. Over each
-word's piece lattice the forward Viterbi pass gives every place its best score so far, which is an exact heuristic for a
+Texts are written with word marks for spaces; no piece holds a mark after another character or a line break after anything, so a text is a
+row of words, each with the whole run of marks before it. Over each word's piece lattice the forward Viterbi pass gives every place its best score so far, which is an exact heuristic for a
 backward A* search: complete segmentations leave the queue in order of score, without exploring any other. A text's N best combine
 its words': only the N - 1 words with the least margin can differ from the best. Decoding is exact: characters outside the
 vocabulary, and word marks of the text itself, are written as byte pieces.
@@ -51,6 +51,8 @@ class Vocabulary:
         self.byte_score = float(self.score[list(rank)].min()) - 2.0
         self.ids = {self.pieces[i]: i for i in plain if len(self.pieces[i]) <= PIECE}
         self.longest = max(map(len, self.ids), default=1)
+        if any("\n" in p[1:] or MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("pieces cross the places where words_in parts a text")
 
     def edges(self, word: str):
         """For each start the (end, id or None for bytes, score) of its pieces; a character of no piece has its byte edge."""
@@ -101,10 +103,14 @@ CUT = "\udc82"
 
 
 def words_in(text: str) -> list[str]:
-    """Units: each space's mark and each line break begins one (no piece holds either further on); units over UNIT characters are cut."""
+    """Units: each run of spaces' marks, with the word after it, and each line break begins one (no piece goes across); units over UNIT characters are cut."""
     if MARK in text:
         text = text.replace(MARK, OWN_MARK)
-    units = text.replace(" ", CUT + MARK).replace("\n", CUT + "\n").split(CUT)
+    runs = "  " in text
+    text = text.replace(" ", CUT + MARK)
+    if runs:
+        text = text.replace(MARK + CUT, MARK)
+    units = text.replace("\n", CUT + "\n").split(CUT)
     if not units[0]:
         del units[0]
     return units if max(map(len, units), default=0) <= UNIT else [u[i : i + UNIT] for u in units for i in range(0, len(u), UNIT)]

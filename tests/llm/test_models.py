@@ -181,6 +181,21 @@ def test_text_n_best_equals_brute_force(vocab):
     assert got == pytest.approx(want)
 
 
+def whole(text):
+    """The text as one word, not split."""
+    return text.replace(nbest_pieces.MARK, nbest_pieces.OWN_MARK).replace(" ", nbest_pieces.MARK)
+
+
+@pytest.mark.parametrize("text", ["a   b", "  a b", "if x:\n    y", "a  ", "   ", " \n  \n", "a ▁  b"])
+def test_runs_of_spaces_against_the_unsplit_text(vocab, text):
+    seg = nbest_pieces.Segmenter(vocab, 5)
+    words = nbest_pieces.words_in(text)
+    at = seg.prepare([words])[0]
+    got = [s for s, _ in seg.text_n_best(words, np.array(at))]
+    want = [s for s, _ in brute_paths(vocab, whole(text))[:5]]
+    assert got == pytest.approx(want)
+
+
 def test_encoding_round_trips(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_best")
     rows = nbest_pieces.encode_texts(df, MODEL, n=3, with_ids=True).collect()
