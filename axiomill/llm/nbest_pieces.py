@@ -2,13 +2,15 @@
 
 Texts are written with word marks for spaces; no piece holds a mark after another character or a line break after anything, so a text is a
 row of words, each with the whole run of marks before it. Over each word's piece lattice the forward Viterbi pass gives every place its best score so far, which is an exact heuristic for a
-backward A* search: complete segmentations leave the queue in order of score, without exploring any other. A text's N best combine
+backward A* search: complete segmentations leave the queue in order of score, without exploring any other. Short words go through the
+forward pass many at once, long ones singly and whole, in time linear in their length. A text's N best combine
 its words': only the N - 1 words with the least margin can differ from the best. Decoding is exact: characters outside the
 vocabulary, and word marks of the text itself, are written as byte pieces.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import zlib
@@ -21,10 +23,14 @@ from pyspark.sql import functions as F
 from .common import Interner, arrow_rows, kept, table
 
 MARK = "▁"
-#: longest unit searched at once (longer words are cut there) and longest piece, in characters
+#: longest unit searched many at once (longer ones are searched one by one, whole) and longest piece, in characters
 UNIT, PIECE = 24, 16
 CACHED = 400_000
+#: characters of long units that a worker keeps
+CACHED_LONG = 2_000_000
 NEVER = -1e18
+#: in a search by itself a score is a whole number of these parts, so that sums are exact and equal scores are seen to be equal
+PARTS = 1 << 44
 
 
 class Vocabulary:
@@ -51,6 +57,8 @@ class Vocabulary:
         self.byte_score = float(self.score[list(rank)].min()) - 2.0
         self.ids = {self.pieces[i]: i for i in plain if len(self.pieces[i]) <= PIECE}
         self.longest = max(map(len, self.ids), default=1)
+        self.parts = {p: (i, round(float(self.score[i]) * PARTS)) for p, i in self.ids.items()}
+        self.byte_parts = round(self.byte_score * PARTS)
         if any("\n" in p[1:] or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces cross the places where words_in parts a text")
 
@@ -68,6 +76,13 @@ class Vocabulary:
             out.append(own)
         return out
 
+    def into(self, word: str, j: int):
+        """The (start, id or None for bytes, score in PARTS) of the pieces that end at a place, shortest first."""
+        own = [(i, *k) for i in range(j - 1, max(0, j - self.longest) - 1, -1) if (k := self.parts.get(word[i:j])) is not None]
+        if not own or own[0][0] != j - 1:
+            own.insert(0, (j - 1, None, self.byte_parts * len(raw(word[j - 1]).encode("utf-8"))))
+        return own
+
     def spell(self, word: str, path) -> list[int]:
         ids = []
         for i, _, k in path:
@@ -103,7 +118,7 @@ CUT = "\udc82"
 
 
 def words_in(text: str) -> list[str]:
-    """Units: each run of spaces' marks, with the word after it, and each line break begins one (no piece goes across); units over UNIT characters are cut."""
+    """Units: each run of spaces' marks, with the word after it, and each line break begins one (no piece goes across)."""
     if MARK in text:
         text = text.replace(MARK, OWN_MARK)
     runs = "  " in text
@@ -113,37 +128,32 @@ def words_in(text: str) -> list[str]:
     units = text.replace("\n", CUT + "\n").split(CUT)
     if not units[0]:
         del units[0]
-    return units if max(map(len, units), default=0) <= UNIT else [u[i : i + UNIT] for u in units for i in range(0, len(u), UNIT)]
+    return units
 
 
 def n_best(vocab: Vocabulary, word: str, n: int) -> list[tuple[float, list]]:
-    """The n best segmentations as (score, [(start, end, id)]): ties by the smaller list of ends."""
-    edges = vocab.edges(word)
+    """The n best segmentations as (score, [(start, end, id)]); of equal scores the one with the longer last pieces comes first."""
     m = len(word)
-    best = [NEVER] * (m + 1)
-    best[0] = 0.0
-    into: list[list] = [[] for _ in range(m + 1)]
-    for i, own in enumerate(edges):
-        for j, k, s in own:
-            into[j].append((i, k, s))
-            if best[i] + s > best[j]:
-                best[j] = best[i] + s
-    # backward: a state is (place, score of the path from it to the end); best[place] is exactly what remains
-    queue = [(-best[m], (), m, 0.0, None)]
+    best = [0] * (m + 1)
+    for j in range(1, m + 1):
+        best[j] = max(best[i] + s for i, _, s in vocab.into(word, j))
+    # backward: a state is (place, score of the path from it to the end); best[place] is exactly what remains, so each state stands for a
+    # segmentation of that score, no two for the same one, and only the best states that are still wanted are kept
+    queue = [(best[m], 0, m, 0, None)]
     out, tick = [], 0
     while queue and len(out) < n:
-        f, _, at, done, path = heapq.heappop(queue)
+        f, _, at, done, path = queue.pop()
         if at == 0:
             steps = []
             while path is not None:
                 steps.append(path[0])
                 path = path[1]
-            out.append((-f, steps))
+            out.append((f / PARTS, steps))
             continue
-        for i, k, s in into[at]:
-            if best[i] > NEVER / 2:
-                tick += 1
-                heapq.heappush(queue, (-(best[i] + s + done), (tick,), i, s + done, ((i, at, k), path)))
+        for i, k, s in vocab.into(word, at):
+            tick += 1
+            bisect.insort(queue, (best[i] + s + done, tick, i, s + done, ((i, at, k), path)))
+        del queue[: max(0, len(queue) - (n - len(out)))]
     return out
 
 
@@ -170,7 +180,7 @@ class Lattices:
         """(best score, margin to the second best, 32-bit ids of the best) of each word."""
         n = len(words)
         cp = np.array(words, dtype=f"U{UNIT}").view(np.uint32).reshape(n, UNIT).astype(np.uint64)
-        odd = np.array([i for i, w in enumerate(words) if "\x00" in w], np.int64)  # NULs end a fixed-width string: searched one by one
+        odd = np.array([i for i, w in enumerate(words) if len(w) > UNIT or "\x00" in w], np.int64)  # long ones, and NULs, which end a fixed-width string: searched one by one
         cp[odd] = 0
         size = (cp > 0).sum(axis=1)
         one = np.full((UNIT + 1, n), NEVER)
@@ -218,7 +228,7 @@ class Lattices:
         ends = (4 * np.cumsum(np.bincount(word, minlength=n))).tolist()
         flat = piece[order].astype("<u4").tobytes()
         ids = [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-        for w in {*odd.tolist(), *np.unique(word[piece < 0]).tolist()}:  # characters of several byte pieces or a NUL: searched one by one
+        for w in {*odd.tolist(), *np.unique(word[piece < 0]).tolist()}:  # long, characters of several byte pieces or a NUL: searched one by one
             found = n_best(self.vocab, words[w], 2)
             top[w], margin[w] = found[0][0], found[0][0] - found[1][0] if len(found) > 1 else -NEVER
             ids[w] = np.array(self.vocab.spell(words[w], found[0][1]), "<u4").tobytes()
@@ -244,15 +254,16 @@ class Segmenter:
         self.reset()
 
     def reset(self):
-        self.at, self.ids, self.best_of = Interner(), [], {}
+        self.at, self.ids, self.best_of, self.long = Interner(), [], {}, 0
         self.top, self.margin = np.zeros(0), np.zeros(0)
 
     def prepare(self, split: list[list[str]]) -> list[list[int]]:
         """The numbers of each text's words; words not seen before are searched."""
-        if len(self.at) > CACHED:
+        if len(self.at) > CACHED or self.long > CACHED_LONG:
             self.reset()
         out = [list(map(self.at.__getitem__, s)) for s in split]
         new = self.at.take()
+        self.long += sum(len(w) for w in new if len(w) > UNIT)
         tops, margins = [self.top], [self.margin]
         for a in range(0, len(new), 1 << 15):
             top, margin, ids = self.lattices(new[a : a + (1 << 15)])
@@ -304,8 +315,8 @@ def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "do
     """Per document: doc_id, n_words, n_pieces, ids_crc32 (of the best ids, little-endian 32-bit), best_score, n_best (array of scores, best
     first), round_trip (decoding the ids gives the text); with_ids adds the ids of the best and of each other segmentation.
 
-    Null and empty texts have no pieces, the score 0 and one segmentation; repeated rows are encoded each; whole texts are used (words over 24
-    characters are cut into units of 24). Other columns are not read.
+    Null and empty texts have no pieces, the score 0 and one segmentation; repeated rows are encoded each; whole texts are used, and words of
+    any length are searched whole. Other columns are not read.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 2048)

@@ -196,6 +196,27 @@ def test_runs_of_spaces_against_the_unsplit_text(vocab, text):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text", ["und.34@mail7.example.com", "see und.34@mail7.example.com now", "x" * 23 + "ation", " " * 37 + "z", "q" * 24 + "\x00é", "\n" + "日本" * 13])
+def test_long_words_are_searched_whole(vocab, text):
+    got_words, n, line = nbest_pieces.words_in(text), 5, whole(text)
+    seg = nbest_pieces.Segmenter(vocab, n)
+    at = seg.prepare([got_words])[0]
+    got = [s for s, _ in seg.text_n_best(got_words, np.array(at))]
+    # the n best of every prefix of the unsplit text, by plain enumeration of what can end there
+    edges, tops = vocab.edges(line), [[0.0]] + [[] for _ in line]
+    for i in range(len(line)):
+        tops[i] = sorted(tops[i], reverse=True)[:n]
+        for j, _, s in edges[i]:
+            tops[j] += [t + s for t in tops[i]]
+    assert got == pytest.approx(sorted(tops[-1], reverse=True)[:n])
+
+
+def test_long_words_take_linear_time(vocab):
+    for word in (" " * 30_000, "ab" * 15_000, "日" * 30_000):
+        found = nbest_pieces.n_best(vocab, whole(word), 4)
+        assert len(found) == 4 - 3 * (word[0] == "日") and all(p[0][0] == 0 and p[-1][1] == len(word) for _, p in found)
+
+
 def test_encoding_round_trips(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_best")
     rows = nbest_pieces.encode_texts(df, MODEL, n=3, with_ids=True).collect()
