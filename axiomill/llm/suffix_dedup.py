@@ -4,11 +4,11 @@ A byte is removed if some string of ``width`` bytes over it also starts earlier.
 are taken where a local rule on their leading bytes (the leftmost least hash of ``LEAD`` bytes among a window's) selects them, so
 that equal windows select the same place. Every window then belongs to one selected suffix; windows with one suffix are a run.
 
-1. The selected suffixes are range-partitioned by their leading bytes with sampled splitters; each bucket is sorted key by key
-   (leading bytes, then the run's whole text) and neighbours compared. A run whose whole text came earlier is repeated
+1. The selected suffixes are range-partitioned by five leading bytes and hash bits with sampled splitters; each bucket is sorted key by key
+   (64-bit hash of the leading bytes, then of the run's whole text; never by the text itself) and neighbours compared. A run whose whole text came earlier is repeated
    entirely. A suffix whose leading bytes occur once is not repeated at all.
 2. What is left - the first run of each text among several that share leading bytes, as at the ends of a
-   repeated passage - is compared window by window, across runs and buckets, by 96-bit keys.
+   repeated passage - is compared window by window, across runs and buckets, by 96 bits of hashes.
 
 Tasks drop repeats of their own before they send anything, so a passage that a third of all rows share is sent
 once by a task. Only positions and hashes travel between tasks; each task reads what concerns its documents beside them.
