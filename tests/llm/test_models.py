@@ -101,6 +101,40 @@ def test_forward_sums_all_segmentations():
         assert row.tolist() == pytest.approx([math.log(max(brute(w, k), 1e-300)) for k in range(2)])
 
 
+def test_forward_takes_whole_letter_runs_and_long_pieces():
+    pieces = language_id.letter_pieces(MODEL)
+    assert "international" in pieces and "distribution" in pieces
+    m = language_id.UnigramModel(pieces, ["x", "y"], np.zeros(2))
+    m.p = np.random.default_rng(0).dirichlet(np.full(len(pieces), 0.3), 2).T
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def log_sum(w):
+        a = np.array([[1.0, 1.0]] + [[0.0, 0.0]] * len(w), np.longdouble)
+        for j in range(1, len(w) + 1):
+            for i in range(j):
+                if w[i:j] in number:
+                    a[j] += a[i] * m.p[number[w[i:j]]]
+            a[j] += a[j - 1] * m.floor
+        return np.log(a[-1]).astype(float)
+
+    for w in ("international", "the" * 7 + "international" + "distribution", "日本語の" * 9 + "information", "q" * 90):
+        parts = language_id.units(w, language_id.neighbours(pieces))
+        assert "".join(parts) == w
+        assert m.forward(parts).sum(axis=0).tolist() == pytest.approx(log_sum(w).tolist())
+
+
+def test_long_words_are_fitted_like_short_ones():
+    r = np.random.default_rng(1)
+    pieces, words = ["a", "b", "ab", "aba"], ["ab" * 5, "abaab", "bz"]
+    a, b = (language_id.UnigramModel(pieces, ["x", "y"], np.zeros(2)) for _ in range(2))
+    a.p = b.p = r.random((4, 2))
+    counts, one, two = r.random((3, 2)), np.zeros((4, 2)), np.zeros((4, 2))
+    a._expect(words, counts, one)
+    for w, c in zip(words, counts, strict=True):
+        b._expect_long(w, c, two)
+    assert two == pytest.approx(one)
+
+
 def test_toxicity_on_held_out_rows(spark, tables):
     docs, labels = tables
     found = toxicity.score_toxicity(docs, labels).cache()
