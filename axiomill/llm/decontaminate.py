@@ -1,8 +1,8 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each shard of training documents gets a suffix array over its words. Every benchmark suffix is searched in it by
-binary search; the ranges give all verbatim occurrences of each window with their places, and the neighbours
-give the longest match. Suffixes of the shard that no benchmark suffix can match (other leading word) are left out
+binary search; the ranges give all verbatim occurrences of each window with their places. Matches are windows; they are
+not extended to longest passages. Suffixes of the shard that no benchmark suffix can match (other leading word) are left out
 of the array before sorting, which changes no answer.
 """
 
@@ -108,7 +108,7 @@ def ranges(rows: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray
 
 
 def longest(rows: np.ndarray, test: TestSuffixes, lo: np.ndarray) -> np.ndarray:
-    """Words of the longest match of each test suffix (up to the window size): with a neighbour of its place."""
+    """Words of the longest match of each test suffix, up to the window size: with a neighbour of its place. The query does not use it."""
     best = np.zeros(len(test.rows), np.int64)
     for near in (lo - 1, lo):
         ok = (near >= 0) & (near < len(rows))
@@ -249,7 +249,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, t
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Where the benchmark occurs: doc_id, item_id, word (place of the window's first occurrence in the document), length in words."""
+    """Where the benchmark occurs: doc_id, item_id, word (place of the window's first occurrence in the document), length of the window in words: at most ``size``, however long the copied passage."""
     spark = docs.sparkSession
     arrow_rows(spark, 1024)
     out = None
