@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import math
 import time
 import uuid
@@ -11,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpoint_dir
+
 U64 = np.uint64
 
 
@@ -21,13 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Where the session names none, a folder of our own is set on one machine; on a cluster that is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/axiomill-shared-{uuid.uuid4().hex[:8]}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -74,8 +73,12 @@ def partitions_for(df: DataFrame, mb: int = 16) -> int:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch between JVM and Python: bounds a worker's memory when rows are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """At most so many rows in an Arrow batch between JVM and Python: bounds a worker's memory when rows are long. Only ever lowered, since
+    plans run later than they are built."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def crc_mod(col, m: int):
@@ -128,6 +131,18 @@ class Prefix:
             return mix((self.s[end] - self.s[start]) * self.down[start] + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
+#: words beyond this many bytes are hashed one by one: sums of powers modulo 2**64 have long strings that collide whatever the base
+LONG_WORD = 255
+
+
+def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [s, e) of a buffer."""
+    h = Prefix(buf).of(s, e)
+    for i in np.flatnonzero(e - s > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

@@ -4,7 +4,8 @@ Two small collections of half-keys (each of ``ROWS`` minhashes) form SIDE x SIDE
 serve SIDE**2 tables of 2 * ROWS rows. Texts with equal shingle sets are one class from the start.
 Classes that share a table key are candidates. They are compared with one pivot of their bucket
 at a time - never all pairs of a bucket - and only while their bucket holds several components; what is left after the pivots
-is compared across components only, through an exact prefix filter.
+is compared across components only, through an exact prefix filter. Between rounds labels grow by one step over the new links (they may
+stay finer than the components, which costs comparisons, never links); components are computed once, at the end.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import LOWER, Prefix, arrow_rows, chunks, encoded, joined, mix, release, stash, table, trim, words_of
+from .common import LOWER, arrow_rows, chunks, encoded, joined, mix, release, stash, table, trim, word_hashes, words_of
 
 SHINGLE, SIDE, ROWS = 5, 12, 2
 #: rounds of pivots before the exact comparison of what is left; bytes of text hashed at once
 PIVOTS, CHUNK = 4, 1 << 19
+#: pairs of one pivot that meet its set in one place; a pivot with more is dealt over several
+HUB = 512
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
 _r = np.random.default_rng(77)
@@ -32,7 +35,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     buf, starts = joined(texts, b" ")
     low = LOWER[buf]
     s, e = words_of(low, IS_WORD)
-    h = Prefix(low).of(s, e)
+    h = word_hashes(low, s, e)
     first = np.searchsorted(s, starts)
     n = len(h)
     key = np.zeros(n, np.uint64)
@@ -92,18 +95,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, f1 long, f2 long, halves array<long>")
 
 
-def pack40(s: np.ndarray) -> bytes:
-    """A sorted set's upper 40 bits, five bytes each."""
-    return np.ascontiguousarray((s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpack40(b: bytes) -> np.ndarray:
-    a = np.zeros((len(b) // 5, 8), np.uint8)
-    a[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return a.view(np.uint64).ravel()
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = np.concatenate([a, b])
@@ -112,18 +105,35 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """Pairs with the whole set of one side. A side with many pairs has its set dealt over several places, by the other side."""
+    other = "p" if side == "v" else "v"
+    hubs = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB).select(side, F.ceil(F.col("k") / HUB).cast("int").alias("deal"))
+    dealt = pairs.join(hubs, side, "left").withColumn("at", F.coalesce(F.pmod(F.xxhash64(other), F.col("deal")), F.lit(0)).cast("int")).drop("deal")
+    own = sets.join(hubs.withColumnRenamed(side, "v"), "v", "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(1)) - 1)))
+    return dealt.join(own.select(F.col("v").alias(side), "at", F.col("n").alias(f"n{side}"), F.col("s").alias(f"s{side}")), [side, "at"]).drop("at")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (v, p, c, d), d and c labels, whose whole sets are similar enough."""
 
     def run(batches):
         for pdf in batches:
-            ok = [linked(unpack40(x), unpack40(y), percent) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)]
-            yield pdf.loc[ok, ["a", "b"]]
+            ok = [linked(x, y, percent) for x, y in zip(pdf["sv"], pdf["sp"], strict=True)]
+            yield pdf.loc[ok, ["v", "p", "c", "d"]]
+
+    y = with_set(with_set(pairs, sets, "v"), sets, "p")
+    y = y.where(F.least("nv", "np") * 100 >= F.greatest("nv", "np") * percent)
+    return y.select("v", "p", "c", "d", "sv", "sp").mapInPandas(run, "v long, p long, c long, d long")
 
-    x = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a")
-    y = x.join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
-    y = y.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return y.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (v, c) after two steps to the smallest over linked labels: enough for stars, and never joins what is not linked."""
+    e = links.select("c", "d").where("c <> d").distinct()
+    e = e.unionByName(e.select(F.col("d").alias("c"), F.col("c").alias("d")))
+    one = e.groupBy("c").agg(F.min("d").alias("m")).select("c", F.least("c", "m").alias("m"))
+    two = e.join(one.select(F.col("c").alias("d"), "m"), "d").groupBy("c").agg(F.min("m").alias("m"))
+    return labels.join(two, "c", "left").select("v", F.least("c", F.coalesce("m", "c")).alias("c"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,23 +154,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     # one representative text for each class that has a candidate
     wanted = buckets.select("v").distinct().join(cls.select("v", "f1", "f2", "n"), "v")
     sets = stash(candidate_sets(base, wanted, sig), "sets")
-    links = None
-    tested = None
     labels = sets.select("v", F.col("v").alias("c")).distinct()
+    links = None
     for r in range(PIVOTS + 1):
         mixed = mixed_buckets(buckets, labels)
-        pairs = pivot_pairs(mixed, r) if r < PIVOTS else rest_pairs(mixed, sets, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs, "pairs")
+        pairs = stash(pivot_pairs(mixed, r) if r < PIVOTS else rest_pairs(mixed, sets, percent), "pairs")
         if pairs.isEmpty():
             continue  # these pivots have nothing new; the exact round decides
         found = stash(confirm(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comp = connected_components(links)
-            labels = stash(sets.select("v").distinct().join(comp.select(F.col("node").alias("v"), "component"), "v", "left").select("v", F.coalesce("component", "v").alias("c")), "labels")
+        links = found if links is None else links.unionByName(found)
+        if r < PIVOTS:
+            labels = stash(relabelled(labels, found), "labels")
+    if links is not None:
+        # what the steps have not joined yet: links between different labels
+        ends = links.select("v", "p").join(labels, "v").join(labels.select(F.col("v").alias("p"), F.col("c").alias("d")), "p")
+        open_ = stash(ends.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "open")
+        if not open_.isEmpty():
+            comp = connected_components(open_)
+            labels = stash(labels.join(comp.select(F.col("node").alias("c"), "component"), "c", "left").select("v", F.coalesce("component", "c").alias("c")), "labels")
     # ids of one class, and rows of one id, belong together
     own = sig.where("n_shingles > 0 and doc_id is not null").join(cls.select("f1", "f2", "v"), ["f1", "f2"]).select("doc_id", "v").join(labels, "v", "left").select("doc_id", F.coalesce("c", "v").alias("c"))
     several = own.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("d"))
@@ -196,7 +207,7 @@ def centred(entries: DataFrame) -> DataFrame:
 
 
 def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFrame:
-    """(v, n, s): the whole set of each candidate class, from the text of its smallest id."""
+    """(v, n, s array<long>): the whole set of each candidate class, from the text of its smallest id."""
 
     def run(batches):
         for pdf in batches:
@@ -205,10 +216,10 @@ def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFr
                 sets = shingle_sets(part)
                 sub = pdf.iloc[at : at + len(part)]
                 ok = [fingerprint(s) == (a, b) for s, a, b in zip(sets, sub["f1"], sub["f2"], strict=True)]
-                yield pd.DataFrame({"v": sub["v"].to_numpy()[ok], "n": [len(s) for s, k in zip(sets, ok, strict=True) if k], "s": [pack40(s) for s, k in zip(sets, ok, strict=True) if k]})
+                yield pd.DataFrame({"v": sub["v"].to_numpy()[ok], "n": [len(s) for s, k in zip(sets, ok, strict=True) if k], "s": [s.view(np.int64) for s, k in zip(sets, ok, strict=True) if k]})
 
     texts = base.join(wanted.select(F.col("v").alias("doc_id"), "f1", "f2"), "doc_id").select(F.col("doc_id").alias("v"), "f1", "f2", "text")
-    found = texts.mapInPandas(run, "v long, n long, s binary")
+    found = texts.mapInPandas(run, "v long, n long, s array<long>")
     return found
 
 
@@ -220,41 +231,35 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(mixed: DataFrame, r: int) -> DataFrame:
-    """One pair for each class: with the pivot of another component that it meets in most buckets."""
+    """(v, p, c, d): one pair for each class, with the pivot of another component that it meets in most buckets; both labels."""
     chance = F.lit(1.0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
-    pivot = mixed.groupBy("key").agg(F.max(F.struct((F.col("w") * chance).alias("h"), F.col("v").alias("p"), F.col("c").alias("pc"))).alias("z")).select("key", "z.p", "z.pc")
-    met = mixed.join(pivot, "key").where("c <> pc").groupBy("v", "p").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("v").agg(F.max(F.struct("k", "p")).alias("z")).select("v", F.col("z.p").alias("p"))
-    return best.select(F.least("v", "p").alias("a"), F.greatest("v", "p").alias("b")).distinct()
+    pivot = mixed.groupBy("key").agg(F.max(F.struct((F.col("w") * chance).alias("h"), F.col("v").alias("p"), F.col("c").alias("d"))).alias("z")).select("key", "z.p", "z.d")
+    met = mixed.join(pivot, "key").where("c <> d").groupBy("v", "c", "p", "d").agg(F.count(F.lit(1)).alias("k"))
+    best = met.groupBy("v").agg(F.max(F.struct("k", "p", "c", "d")).alias("z"))
+    return best.select("v", "z.p", "z.c", "z.d")
 
 
 def rest_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair of classes of different components in mixed buckets that can still be a link, by an exact prefix filter.
+    """Every pair (v, p, c, d) of classes of different components in mixed buckets that can still be a link, by an exact prefix filter.
 
     With shingles ordered from rare to frequent, two sets of that similarity share one of their first n - ceil(percent * n / 100) + 1. A text
     that differs from its group in a quarter of its shingles has only shingles of its own there and meets nobody.
     """
     open_ = stash(mixed.select("v", "c").distinct().join(sets, "v"), "open")
-
-    def explode(batches):
-        for pdf in batches:
-            for v, s in zip(pdf["v"], pdf["s"], strict=True):
-                yield pd.DataFrame({"v": v, "t": unpack40(s).view(np.int64)})
-
-    shingles = stash(open_.select("v", "s").mapInPandas(explode, "v long, t long"), "shingles")
+    shingles = open_.select("v", F.explode("s").alias("t"))
     often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = shingles.join(often, "t").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
     own = open_.select("v", "c", "n").join(own, "v")
     # shingles that one text alone has come first; i is a shingle's place in its text's order
     alone = F.col("n") - F.size("ts")
     left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    x = own.where(left > 0).select("v", "c", "n", alone.alias("z"), F.posexplode(F.slice("ts", F.lit(1), left.cast("int"))).alias("p", "e")).select("v", "c", "n", (F.col("z") + F.col("p") + 1).alias("i"), "e.t")
-    y = x.select(F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), "t")
+    x = own.where(left > 0).select("v", "c", "n", alone.alias("z"), F.posexplode(F.slice("ts", F.lit(1), left.cast("int"))).alias("q", "e")).select("v", "c", "n", (F.col("z") + F.col("q") + 1).alias("i"), "e.t")
+    y = x.select(F.col("v").alias("p"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), "t")
     # at the first shingle that two texts share, what follows it in both must still hold the overlap that the link needs
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     fits = (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    hit = x.join(y, (x["t"] == y["t"]) & (F.col("c") != F.col("d")) & (F.col("v") < F.col("w")) & fits)
-    return hit.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+    hit = x.join(y, (x["t"] == y["t"]) & (F.col("c") != F.col("d")) & (F.col("v") < F.col("p")) & fits)
+    return hit.select("v", "p", "c", "d").distinct()
 
 
 def query(spark, sf_dir):
