@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The shared folder for cut lineage: the session's ``spark.checkpoint.dir``; where it is unset, one of our own on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"/tmp/axiomill-shared-{uuid.uuid4().hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
