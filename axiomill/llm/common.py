@@ -45,11 +45,13 @@ def stash(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
     schema = df.schema
+    del df
+    # the driver's heap holds little between steps but grows to its bound if nothing collects it; what no plan needs any more goes from the executors' disks too
+    spark.sparkContext._jvm.System.gc()
     if free:
-        del df
-        for _ in range(2):
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
 
 

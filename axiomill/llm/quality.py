@@ -208,6 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
     net.fit(x[~check], y[~check], wt[~check] / wt[~check].sum())
     if check.any():
         net.calibrate(x[check], y[check], wt[check])
+    del rows, x, neighbours, index
+    trim()  # the driver keeps the model alone
     return vocab, vectors, net
 
 
