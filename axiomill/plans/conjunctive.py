@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model.expressions import Individual, Literal
+from .horn import plain_atoms
 from .program import Inconsistent, Program
 
 KEYS = {
@@ -70,7 +71,7 @@ def answer(program: Program, spec: dict, check: bool = True) -> DataFrame:
     query: one row if it holds. Unknown constants match nothing. Raises on an inconsistent knowledge base (unless ``check`` is False),
     an empty body, or an answer variable that no atom binds.
     """
-    atoms = atoms_of(spec["where"])
+    atoms = plain_atoms(atoms_of(spec["where"]))
     given = [term(t) for a in spec["where"] for t in (a["different_from"] if "different_from" in a else [a[k] for k in ("arg", "subject", "object", "value") if k in a])]
     order = list(dict.fromkeys(t for t in given if isinstance(t, str) and t.startswith("?")))
     select = [term(t) for t in spec["select"]] if spec.get("select") is not None else order

@@ -44,9 +44,18 @@ class Horn:
         return not self.non_horn
 
 
+def plain_atoms(atoms) -> list[tuple]:
+    """The same conjunction without atoms of the top role: it holds between any two individuals, so both ends only have to be some."""
+    out: list[tuple] = []
+    for a in atoms:
+        out += [("thing", a[2]), ("thing", a[3])] if a[0] == "r" and a[1] == E.TOP_ROLE else [a]
+    return list(dict.fromkeys(out))
+
+
 class Compiler:
     def __init__(self, axioms):
         self.out, self.fresh = Horn(), itertools.count()
+        self.functional = {a.args[0] for a in axioms if a.kind == "FunctionalObjectProperty"} | {a.args[0].inverse() for a in axioms if a.kind == "InverseFunctionalObjectProperty"}
         for a in axioms:
             self.signature(a)
             mark = len(self.out.rules), len(self.out.obligations), len(self.out.facts)
@@ -155,6 +164,9 @@ class Compiler:
                 self.rule(body, self.role_atom(c.role, x, c.of.members[0]), label)
             else:
                 self.out.obligations.append((tuple(body), c, x))
+                if c.role in self.functional and c.of != E.THING:  # a filler that is there already is the witness
+                    y = self.var()
+                    self.heads(c.of, y, [*body, self.role_atom(c.role, x, y)], label)
         elif isinstance(c, (E.Min, E.DataMin)):
             self.out.obligations.append((tuple(body), c, x))
         elif isinstance(c, E.OneOf):
@@ -188,7 +200,9 @@ class Compiler:
             raise NotHorn(c)
 
     def rule(self, body, head, label: str) -> None:
-        body = list(dict.fromkeys(body))
+        if head and (head[0] == "r" and head[1] == E.TOP_ROLE or head[0] == "d" and head[1] == E.TOP_DATA):
+            return
+        body = plain_atoms(body)
         bound = {t for a in body if a[0] not in ("eq", "ne", "vne", "in", "out", "named") for t in a[1:] if isinstance(t, str) and t.startswith("?")}
         for t in (head or ())[1:]:
             if isinstance(t, str) and t.startswith("?") and t not in bound:
@@ -206,7 +220,7 @@ class Compiler:
         elif k == "EquivalentClasses":
             for p, q in zip(z, z[1:] + z[:1], strict=True):
                 self.include(p, q, k)
-        elif k in ("DisjointClasses",):
+        elif k == "DisjointClasses":
             for p, q in itertools.combinations(z, 2):
                 self.include(E.And((p, q)), E.NOTHING, k)
         elif k == "DisjointUnion":

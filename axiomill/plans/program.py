@@ -1,6 +1,8 @@
 """Evaluation of a rule program as DataFrame plans.
 
-Predicates are evaluated on demand: only rules that a question reaches are planned. A predicate outside any cycle is a plain view - a
+Predicates are evaluated on demand: only rules that a question reaches are planned. Rules that only rename - inclusions,
+equivalences, inverse and symmetric roles - are followed to their sources before planning, each source once, so hierarchies of any shape are one
+union with one distinct, and cycles of such rules are no cycles. A predicate outside any other cycle is a plain view - a
 union of joins that Catalyst optimises as one plan, filters and columns pushed to the scans. A cycle runs a semi-naive loop whose
 lineage is cut in the shared folder every round. Equality is solved by connected components over merge edges; facts are
 then rewritten to representatives (the smallest IRI) until no rule merges more.
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.datatypes import NUMERIC, range_column
-from ..model.expressions import THING, XSD, Individual, Literal
+from ..model.expressions import BOTTOM_DATA, BOTTOM_ROLE, THING, TOP_DATA, TOP_ROLE, XSD, Individual, Literal
 from ..operators.components import connected_components, cut
 from .horn import Horn, Rule
 
@@ -61,6 +63,8 @@ class Program:
             self.given[k] = df.toDF(*cols).dropna()
         self._ground()
         self.rules = [r for r in horn.rules if r.body]
+        for k in (("r", BOTTOM_ROLE), ("d", BOTTOM_DATA)):  # no pair is one
+            self.rules.append(Rule(((*k, "?x", "?y"),), None, "bottom property"))
         self.rounds = 0
         self.same: DataFrame | None = None
         self._memo: dict[tuple, DataFrame] = {}
@@ -77,6 +81,7 @@ class Program:
             rows.setdefault(key, []).append(tuple(self.constant(t) for t in (f[1:] if len(key) == 1 else f[2:])))
         for key, own in rows.items():
             cols = COLUMNS.get(key[0], ("a", "b"))
+            own = list(dict.fromkeys(own))
             df = self.spark.createDataFrame(own, ", ".join(f"{c} string" for c in cols))
             self.given[key] = self.given[key].unionByName(df) if key in self.given else df
 
@@ -97,7 +102,7 @@ class Program:
         """Merge edges to components to rewritten facts, until nothing new merges."""
         edges: DataFrame | None = None
         for _ in range(self.max_rounds):
-            self._memo = {}
+            self.forget()
             found = [self.merge_edges(r) for r in self.rules if r.head and r.head[0] == "eq" and self.possible(r.body)]
             if edges is None and ("eq",) in self.given:
                 found.append(self.given[("eq",)].select("a", "b"))
@@ -110,7 +115,13 @@ class Program:
             self.same = cut(connected_components(edges))
         else:
             raise TooManyRounds(f"merging did not settle in {self.max_rounds} rounds")
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was derived from facts that have changed."""
         self._memo = {}
+        for k in ("_live", "_by_head", "_hard", "_consistent"):
+            self.__dict__.pop(k, None)
 
     def merge_edges(self, r: Rule) -> DataFrame:
         """(a, b) pairs that a rule equates. Where the rule says "two with the same keys", as functional roles and keys do, each is
@@ -146,6 +157,8 @@ class Program:
             grown = True
             while grown:
                 grown = False
+                if ("d", TOP_DATA) not in live and any(k[0] == "d" for k in live):
+                    live.add(("d", TOP_DATA))
                 for r in self.rules:
                     if r.head and (h := self.key_of(r.head)) and h not in live and all((k := self.key_of(a)) is None or k in live for a in r.body):
                         live.add(h)
@@ -154,36 +167,107 @@ class Program:
         return all((k := self.key_of(a)) is None or k in self._live for a in body)
 
     def rules_for(self, key: tuple) -> list[Rule]:
-        return [r for r in self.rules if r.head and self.key_of(r.head) == key and self.possible(r.body)]
+        if "_by_head" not in self.__dict__:
+            self._by_head: dict[tuple, list[Rule]] = {}
+            for r in self.rules:
+                if r.head and self.possible(r.body):
+                    self._by_head.setdefault(self.key_of(r.head), []).append(r)
+        return self._by_head.get(key, [])
+
+    def renames(self, r: Rule) -> tuple[tuple, bool] | None:
+        """(source, swapped) of a rule that only renames its one atom: p(x) from q(x), r(x, y) from s(x, y) or s(y, x)."""
+        if len(r.body) != 1 or r.head[0] not in ("c", "r", "d") or r.body[0][0] != r.head[0]:
+            return None
+        to, own = r.head[2:], r.body[0][2:]
+        if len(set(own)) < len(own) or not all(isinstance(t, str) and t.startswith("?") for t in own):
+            return None
+        return (self.key_of(r.body[0]), to != own) if to in (own, own[::-1]) else None
+
+    def _cycles(self) -> dict[tuple, list[tuple]]:
+        """Each predicate of a cycle that does more than rename, with its strongly connected component: one depth-first pass over the rules."""
+        if "_hard" in self.__dict__:
+            return self._hard
+        number: dict[tuple, int] = {}
+        low: dict[tuple, int] = {}
+        path: list[tuple] = []
+        on: set[tuple] = set()
+        self._hard = {}
+
+        def below(k):
+            return [d for r in self.rules_for(k) for a in r.body if (d := self.key_of(a)) is not None and d[0] != "thing"]
+
+        for start in {self.key_of(r.head) for r in self.rules if r.head} - {None}:
+            if start in number:
+                continue
+            work = [(start, iter(below(start)))]
+            number[start] = low[start] = len(number)
+            path.append(start)
+            on.add(start)
+            while work:
+                k, rest = work[-1]
+                for d in rest:
+                    if d not in number:
+                        number[d] = low[d] = len(number)
+                        path.append(d)
+                        on.add(d)
+                        work.append((d, iter(below(d))))
+                        break
+                    if d in on:
+                        low[k] = min(low[k], number[d])
+                else:
+                    work.pop()
+                    if work:
+                        low[work[-1][0]] = min(low[work[-1][0]], low[k])
+                    if low[k] == number[k]:
+                        scc = set()
+                        while not scc or k not in scc:
+                            scc.add(path.pop())
+                        on -= scc
+                        if any(self.renames(r) is None and any(self.key_of(a) in scc for a in r.body) for h in scc for r in self.rules_for(h)):
+                            self._hard |= dict.fromkeys(scc, sorted(scc))
+        return self._hard
 
     def cycle(self, key: tuple) -> list[tuple]:
-        """The strongly connected component of a predicate ([] if it does not depend on itself)."""
-
-        def reach(start):
-            seen, todo = set(), [start]
-            while todo:
-                for r in self.rules_for(todo.pop()):
-                    for a in r.body:
-                        k = self.key_of(a)
-                        if k is not None and k[0] != "thing" and k not in seen:
-                            seen.add(k)
-                            todo.append(k)
-            return seen
-
-        down = reach(key)
-        return [] if key not in down else sorted(k for k in down if k == key or key in reach(k))
+        """The strongly connected component of a predicate whose cycle does more than rename ([] otherwise)."""
+        return self._cycles().get(key, [])
 
     def extension(self, key: tuple) -> DataFrame:
         """The derived extension of a predicate: distinct rows in the columns of COLUMNS."""
         if key not in self._memo:
             if key[0] == "thing" or key == ("c", THING.iri):
                 self._memo[key] = self.domain()
+            elif key == ("r", TOP_ROLE):
+                raise ValueError("all pairs of individuals are not enumerated")
+            elif key == ("d", TOP_DATA):
+                every = sorted({k for k in {*self.given, *(self.key_of(r.head) for r in self.rules if r.head)} if k and k[0] == "d" and k[1] not in (TOP_DATA, BOTTOM_DATA)})
+                self._memo[key] = self.union(key, [self.extension(k) for k in every])
             elif scc := self.cycle(key):
                 self._memo |= self.saturate(scc)
             else:
-                self._memo[key] = self.union(key, [self.derive(r, {}) for r in self.rules_for(key)])
+                self._memo[key] = self.union(key, self.sources(key))
         return self._memo[key]
 
+    def sources(self, key: tuple) -> list[DataFrame]:
+        """What a predicate is the union of besides its own facts: renaming rules are followed, every source is taken once in each orientation."""
+        out, seen, todo = [], {(key, False)}, [(key, False)]
+        while todo:
+            k, flip = todo.pop(0)
+            found: list[DataFrame] = []
+            if k != key and self.cycle(k):
+                found.append(self.extension(k))
+            else:
+                if (k, flip) != (key, False) and (f := self.facts(k)) is not None:
+                    found.append(f)
+                for r in self.rules_for(k):
+                    if (step := self.renames(r)) is None:
+                        found.append(self.derive(r, {}))
+                    elif (to := (step[0], flip != step[1])) not in seen:
+                        seen.add(to)
+                        todo.append(to)
+            cols = COLUMNS[k[0]]
+            out += [f.select(*(F.col(c).alias(n) for c, n in zip(reversed(cols) if flip else cols, cols, strict=True))) for f in found]
+        return out
+
     def union(self, key: tuple, derived: list[DataFrame]) -> DataFrame:
         parts = [x for x in (self.facts(key), *derived) if x is not None]
         if not parts:
@@ -346,7 +430,10 @@ class Program:
         return reduce(DataFrame.unionByName, parts)
 
     def is_consistent(self) -> bool:
-        return not any(r.head is None and not r.body for r in self.horn.rules) and self.clashes().isEmpty()
+        """Decided once for the facts as they are."""
+        if "_consistent" not in self.__dict__:
+            self._consistent = not any(r.head is None and not r.body for r in self.horn.rules) and self.clashes().isEmpty()
+        return self._consistent
 
     def equivalence_class(self, iri: str) -> list[str] | None:
         """All names of an individual's class; None if no fact knows it."""

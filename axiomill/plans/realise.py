@@ -44,7 +44,7 @@ def class_hierarchy(told: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def told_inclusions(p: Program) -> list[tuple[str, str]]:
     """Atomic inclusions among the rules."""
-    return sorted({(r.body[0][1], r.head[1]) for r in p.rules if r.head and r.head[0] == "c" and len(r.body) == 1 and r.body[0][0] == "c" and r.body[0][2] == r.head[2]})
+    return sorted({(r.body[0][1], r.head[1]) for r in p.horn.rules if r.head and r.head[0] == "c" and len(r.body) == 1 and r.body[0][0] == "c" and r.body[0][2] == r.head[2]})
 
 
 def types(p: Program, direct: bool = False) -> DataFrame:

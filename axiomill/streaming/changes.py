@@ -50,8 +50,7 @@ class Materialized:
         for k, df in facts.items():
             df = df.toDF(*COLUMNS.get(k[0], ("a", "b"))).dropna()
             p.given[k] = p.given[k].unionByName(df) if k in p.given else df
-        p._memo, p.__dict__["_live"] = {}, None
-        del p.__dict__["_live"]
+        p.forget()
         if not self.incremental:
             p._merge()
             self._build()
@@ -94,8 +93,8 @@ class Materialized:
             if k in p.given:
                 cols = COLUMNS.get(k[0], ("a", "b"))
                 p.given[k] = cut(p.given[k].join(df.toDF(*cols), list(cols), "left_anti"))
-        p._memo, p.same = {}, None
-        p.__dict__.pop("_live", None)
+        p.same = None
+        p.forget()
         p._merge()
         self._build()
 
