@@ -57,12 +57,27 @@ def types(p: Program, direct: bool = False) -> DataFrame:
     pairs = told_inclusions(p)
     if not direct or not pairs:
         return every.distinct()
-    told = p.spark.createDataFrame(pairs, "child string, parent string")
-    equiv, _ = class_hierarchy(told)
-    up = closure(told, "child", "parent")
-    rep = every.join(equiv.select(F.col("elem").alias("type"), "rep"), "type", "left").select("x", F.coalesce("rep", "type").alias("type")).distinct()
-    reps = equiv.select(F.col("elem").alias("parent"), F.col("rep").alias("pr"))
-    strict = up.join(reps, "parent").join(equiv.select(F.col("elem").alias("child"), F.col("rep").alias("cr")), "child").where("cr <> pr").select(F.col("cr").alias("c"), F.col("pr").alias("p")).distinct()
+    # told inclusions are axioms: their closure is the driver's business
+    up: dict[str, set[str]] = {}
+    for c, d in pairs:
+        up.setdefault(c, set()).add(d)
+    for c in up:
+        seen, todo = set(), [c]
+        while todo:
+            for d in up.get(todo.pop(), ()):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        up[c] = seen
+    least = {c: min([c, *(d for d in ds if c in up.get(d, ()))]) for c, ds in up.items()}
+    equal = [(c, r) for c, r in least.items() if c != r]
+    rep = every.distinct()
+    if equal:
+        rep = every.join(F.broadcast(p.spark.createDataFrame(equal, "type string, rep string")), "type", "left").select("x", F.coalesce("rep", "type").alias("type")).distinct()
+    above = sorted({(least[c], least.get(d, d)) for c, ds in up.items() for d in ds if least[c] != least.get(d, d)})
+    if not above:
+        return rep
+    strict = F.broadcast(p.spark.createDataFrame(above, "c string, p string"))
     covered = rep.join(strict, F.col("type") == F.col("c")).select(F.col("x").alias("x"), F.col("p").alias("type")).distinct()
     return rep.join(covered, ["x", "type"], "left_anti")
 

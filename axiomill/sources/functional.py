@@ -300,15 +300,26 @@ def parse(text: str) -> Ontology:
 TYPE = E.RDF + "type"
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, literal boolean): triples of N-Triples files; objects that are literals are rendered ``"lex"^^<datatype>``."""
-    lines = spark.read.text(path).where(F.trim("value").rlike(r"^[<_]"))
+def unescaped(text):
+    """A column with N-Triples escapes replaced by their characters; a four-digit escape pair stands for a character beyond the first plane."""
+    body = F.regexp_replace(F.regexp_replace(text, r"\\\\U0000([0-9A-Fa-f]{4})", r"\\\\u$1"), r"\\\\'", "'")
+    return F.when(text.contains("\\"), F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), body, F.lit('"}')), "v string")["v"], text)).otherwise(text)
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(s, p, o, literal boolean): triples of N-Triples files; objects that are literals are rendered ``"lex"^^<datatype>``, escapes replaced.
+
+    Blank lines and comments are skipped. Any other line that is no triple is an error when the frame is read; not ``strict``: it is left out.
+    """
+    lines = spark.read.text(path).where(~F.trim("value").rlike(r"^(#.*)?$"))
     term, obj = r"(<[^>]*>|_:\S+)", r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[\w\-]+)?)'
     pattern = rf"^\s*{term}\s+(<[^>]*>)\s+{obj}\s*\.\s*(?:#.*)?$"
-    t = lines.select(*(F.regexp_extract("value", pattern, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o")))).where("p <> ''")
+    t = lines.select(*(F.regexp_extract("value", pattern, i).alias(n) for i, n in ((1, "s"), (2, "p"), (3, "o"))), "value")
+    t = t.withColumn("p", F.when(F.col("p") == "", F.raise_error(F.concat(F.lit("not a triple: "), "value"))).otherwise(F.col("p"))) if strict else t.where("p <> ''")
     bare = lambda c: F.regexp_replace(c, r"^<(.*)>$", "$1")
     text = F.regexp_extract("o", r'(?s)^"(.*)"(?:\^\^<[^>]*>|@[\w\-]+)?$', 1)
     tag, dt = F.regexp_extract("o", r'"@([\w\-]+)$', 1), F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1)
+    text = unescaped(text)
     literal = F.col("o").startswith('"')
     rendered = F.when(tag != "", F.concat(F.lit('"'), text, F.lit("@"), tag, F.lit(f'"^^<{E.PLAIN}>'))).otherwise(F.concat(F.lit('"'), text, F.lit('"^^<'), F.when(dt != "", dt).otherwise(F.lit(E.XSD + "string")), F.lit(">")))
     return t.select(bare(F.col("s")).alias("s"), bare(F.col("p")).alias("p"), F.when(literal, rendered).otherwise(bare(F.col("o"))).alias("o"), literal.alias("literal"))

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from axiomill import catalogue
+from axiomill import catalogue, catalogue_rows  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"

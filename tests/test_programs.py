@@ -245,3 +245,16 @@ def test_streamed_changes(spark, tmp_path):
 def test_empty_bodies_and_facet_conditions(spark):
     p = program(spark, A("SubClassOf", DataSome(N + "p", Restricted(XSD + "string", ((XSD + "pattern", Literal("a+")),))), C("B")), A("DataPropertyAssertion", N + "p", "x", Literal("aaa")), A("DataPropertyAssertion", N + "p", "y", Literal("baa")))
     assert ask(p, [cls("B")]) == [("x",)]
+
+
+def test_ntriples_escapes_and_bad_lines(spark, tmp_path):
+    from axiomill.sources.functional import read_ntriples
+
+    f = tmp_path / "a.nt"
+    f.write_text('<urn:a> <urn:p> "tab\\t quote\\" e\\u00e9" .\n# note\n\n<urn:a> <urn:q> <urn:b> .\n')
+    rows = {r["p"]: r["o"] for r in read_ntriples(spark, str(f)).collect()}
+    assert rows == {"urn:p": '"tab\t quote" e\u00e9"^^<http://www.w3.org/2001/XMLSchema#string>', "urn:q": "urn:b"}
+    f.write_text("<urn:a> <urn:p> .\n<urn:a> <urn:q> <urn:b> .\n")
+    assert read_ntriples(spark, str(f), strict=False).count() == 1
+    with pytest.raises(Exception, match="not a triple"):
+        read_ntriples(spark, str(f)).collect()
