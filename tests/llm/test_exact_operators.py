@@ -162,6 +162,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, shard, block):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str)
     assert got == brute_leaks(rows, items)
+    assert sorted((tuple(x)[:6] for x in decontaminate.contamination(docs, bench, places=True).collect()), key=str) == got
     clean = {x["doc_id"] for x in decontaminate.remove_contaminated(docs, bench).collect()}
     assert clean == {x[0] for x in brute_leaks(rows, items) if not x[5]} - {x[0] for x in brute_leaks(rows, items) if x[5]}
 
@@ -172,12 +173,26 @@ def test_decontamination_of_empty_tables(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
-def test_longest_matches_by_binary_search():
-    t = decontaminate.TestSuffixes([("i", "one two three four five six seven eight nine ten")], 10)
-    _, _, h = decontaminate.word_hashes(__import__("numpy").frombuffer(b"zero one two three four nine", "uint8"))
-    at, rows = decontaminate.suffix_array(h, __import__("numpy").full(len(h), len(h)), t)
-    lo, _ = decontaminate.ranges(rows, t)
-    assert decontaminate.longest(rows, t, lo).tolist() == [4]
+def test_longest_matches_and_places(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randint(0, 10**6)}" for _ in range(40))) for i in range(4)] + [(9, "tiny item")]
+    w = [t.split() for _, t in items]
+    rows = [(1, " ".join(["x", *w[0][5:30], "y", *w[1][:12]])), (2, " ".join(w[2] + w[2])), (3, "no match at all"), (4, "a tiny item b"), (5, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(x) for x in decontaminate.matches(docs, bench).collect())
+    assert got == [(1, "0", 1, 5, 25), (1, "1", 27, 0, 12), (2, "2", 0, 0, 40), (2, "2", 40, 0, 40), (4, "9", 1, 0, 2)]
+    own = {x["doc_id"]: (x["longest"], x["longest_at"], x["longest_item"]) for x in decontaminate.contamination(docs, bench, places=True).collect()}
+    assert own == {1: (25, 1, "0"), 2: (40, 0, "2"), 3: (0, None, None), 4: (2, 1, "9"), 5: (0, None, None)}
+
+
+def test_words_whose_hashes_collide_are_told_apart(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a  # of these two no sum of powers modulo 2**64 knows the difference
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, b)], "item_id long, text string")
+    assert {x["doc_id"]: x["contaminated"] for x in decontaminate.contamination(docs, bench).collect()} == {1: False, 2: True, 3: False}
+    assert {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 # ------------------------------------------------------------------ urls
@@ -241,10 +256,26 @@ def test_topk_equals_brute_force(spark, monkeypatch, block):
 
 
 def test_topk_is_exact_for_large_components(spark):
-    rows = [(i, [float(2**40 + i), float(i)]) for i in range(0, 60, 5)]
+    rows = [(i, [float(2**22 + i) / 64, float(i)]) for i in range(0, 60, 5)] + [(61, [2.0**31, -1.0]), (80, [2.0**16, 2.0**16 - 1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(x["query_id"], x["vec_id"]): x["score"] for x in topk.top_k(df, every=20).collect()}
-    v = {i: [64 * (2**40 + i), 64 * i] for i, _ in rows}
-    for (q, c), s in got.items():
-        want = sum(a * b for a, b in zip(v[q], v[c], strict=True))
-        assert s == max(-(2**63), min(2**63 - 1, want))
+    assert sorted(map(tuple, topk.top_k(df, every=20).collect())) == brute_topk(rows, 20, 20)
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [2.0**50]), (1, [2.0**50])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(df).collect()
+
+
+def test_topk_bound_is_never_under_an_exact_score():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        d = int(r.integers(1, 200))
+        q, c = r.integers(-(2**20), 2**20, d), r.integers(-(2**20), 2**20, (d, 50))
+        c[:, 0] = q  # the bound is met there
+        cut = int(r.integers(0, d + 1))
+        rest, mass = float(np.sqrt((q[cut:].astype(float) ** 2).sum())), np.sqrt((c[cut:].astype(float) ** 2).sum(axis=0))
+        bound = topk.upper((q[:cut] @ c[:cut]).astype(float), rest, mass, d)
+        assert all(int(b) >= int(x) for b, x in zip(np.ceil(bound), q @ c, strict=True))
