@@ -151,7 +151,7 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, modulus: int, held_out: int):
-    """(vocabulary, vectors, network), or None if there are no labels of both classes."""
+    """(vocabulary, vectors, network); the class itself if only one was seen, None if there are no labels."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, modulus, held_out, FIT_ROWS, id_col, text_col)
     arrow_rows(spark, 256)
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: s
 
     rows = sample.mapInPandas(pool, "x binary, y int, h long").collect()
     if len({r["y"] for r in rows}) < 2:
-        return None
+        return float(rows[0]["y"]) if rows else None
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64)
     y, check = np.array([r["y"] for r in rows], float), np.array([r["h"] % 5 == 0 for r in rows])
     order = np.lexsort(np.concatenate([x.T, y[None]]))  # rows come in any order; the network's sums should not
@@ -217,8 +217,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Per document: doc_id, held_out, score (0 to 1), predicted (score >= threshold); or the columns in ``keep`` and those three,
     under ``names`` that do not clash with them.
 
-    Labels of rows whose crc32(id) mod ``modulus`` is ``held_out`` are never used. Null and empty texts are pooled to the zero vector and scored as such;
-    if labels of only one class (or none) can be learned from every score is 1. Whole texts are scored, repeated rows each; other columns are not read.
+    Labels of rows whose crc32(id) mod ``modulus`` is ``held_out`` are never used; a null id counts as remainder 0 and has no label. Null and empty texts are
+    pooled to the zero vector and scored as such. If only one class can be learned from, every score is that class (0 or 1); without any label it
+    is 0.5. Whole texts are scored, repeated rows each and alike; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     model = fit(docs, labels, id_col, text_col, label, modulus, held_out)
@@ -230,10 +231,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         release()
-        vocab, vectors, net = shared.value if shared.value is not None else (None, None, None)
+        same = 0.5 if shared.value is None else shared.value
+        vocab, vectors, net = same if isinstance(same, tuple) else (None, None, None)
         pooler = Pooler(vocab, vectors) if net else None
         for pdf in batches:
-            s = net.probability(pooler(pdf[body].tolist()).astype(np.float64)) if net else np.ones(len(pdf))
+            s = net.probability(pooler(pdf[body].tolist()).astype(np.float64)) if net else np.full(len(pdf), same)
             out = pdf.assign(**{names[1]: s, names[2]: (s >= threshold).astype(np.int32)})
             yield out.drop(columns="__text") if body == "__text" else out
         del pooler

@@ -196,7 +196,8 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored shards, in ascending id order: (part, seq, within, n_docs, n_ids, shard binary); ``within`` counts the ids of the part before the shard.
 
-    Null texts are empty (only the end id). Null ids come first; repeated ids follow each other, ordered by text. Texts are encoded whole.
+    Null texts are empty (only the end id). Null ids come first; repeated ids follow each other, ordered by text. Texts are encoded whole. An empty table gives no shard;
+    other columns are not read.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 256)
@@ -233,7 +234,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian 32-bit ids).
+
+    Empty files give no rows; null ids come first and stay null, repeated ids each have their row.
+    """
     spark = shards.sparkSession
     arrow_rows(spark, 4)
     # one row for each partition of the writer, whatever the number of documents
@@ -246,7 +250,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
         for pdf in batches:
             for t in pdf.itertuples(index=False):
                 s = Shard(t.shard)
-                ends = s.ends.all()
+                ends = np.fromiter((s.ends.select(i) for i in range(s.n)), np.int64, s.n)  # each boundary by the select structure
                 starts = np.concatenate(([0], ends[:-1]))
                 wide = memoryview(s.ids.astype("<u4")).cast("B")
                 yield pd.DataFrame({
