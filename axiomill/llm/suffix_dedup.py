@@ -1,42 +1,51 @@
 """Suffix-array deduplication of repeated byte strings.
 
-A byte is removed if some string of ``width`` bytes over it also starts earlier. To find them without sorting every suffix, suffixes
-are taken where a local rule on their leading bytes (the leftmost least hash of ``LEAD`` bytes among a window's) selects them, so
-that equal windows select the same place. Every window then belongs to one selected suffix; windows with one suffix are a run.
-
-1. The selected suffixes are range-partitioned by five leading bytes and hash bits with sampled splitters; each bucket is sorted key by key
-   (64-bit hash of the leading bytes, then of the run's whole text; never by the text itself) and neighbours compared. A run whose whole text came earlier is repeated
-   entirely. A suffix whose leading bytes occur once is not repeated at all.
+A byte is removed if some string of ``width`` bytes over it also starts earlier. Sorting every suffix would send its text
+``width`` times over, so the array is sparse: suffixes are taken where a local rule on their leading bytes (the leftmost least hash of
+``LEAD`` bytes among a window's) selects them, so that equal windows select the same place. Every window then belongs to one selected suffix; windows
+with one suffix are a run.
+
+1. The selected suffixes are range-partitioned by their leading text with sampled splitters; each bucket is sorted by multikey quicksort, eight
+   bytes of text at a time, then by what follows (a 64-bit hash of the run's whole text) and place, and neighbours are compared; the last suffix of a bucket
+   is compared with the first of the next. A suffix that more buckets share is thus no harm, and a hot one is cut where the splitters fall. A run
+   whose text came earlier is repeated entirely. A suffix whose leading bytes stand before one text only is not repeated otherwise.
 2. What is left - the first run of each text among several that share leading bytes, as at the ends of a
-   repeated passage - is compared window by window, across runs and buckets, by 96 bits of hashes.
+   repeated passage - is sent with its text: as suffixes again, from the selected place (for windows that reach further right of it) or from half
+   a window before it (for the others), range-partitioned and sorted by about two thirds of ``width`` bytes of text. Windows are compared byte by byte there.
 
 Tasks drop repeats of their own before they send anything, so a passage that a third of all rows share is sent
-once by a task. Only positions and hashes travel between tasks; each task reads what concerns its documents beside them.
+once by a task.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, arrow_rows, encoded, input_bytes, packed, release, stash, table, unpacked
+from .common import Prefix, arrow_rows, encoded, input_bytes, packed, partitions_for, release, stash, table, unpacked
 
+#: what is known of a run: its windows all came earlier; they are to be compared one by one; it waits for the buckets beside
+REPEATED, OPEN, HEAD_FIRST, HEAD, TAIL = 1, 2, 3, 4, 5
 #: leading bytes of a suffix that select and partition it
 LEAD = 32
 #: bytes of text worked on at once; documents in the sample of splitters
 PIECE_BYTES, SPLIT_DOCS = 1 << 20, 400
-RUN = np.dtype([("kh", "<u8"), ("eh", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4"), ("n", "<u2")])
-MARK = np.dtype([("doc", "<i8"), ("s", "<u4"), ("n", "<u2"), ("kind", "u1")])
-WIN = np.dtype([("wh", "<u8"), ("kh", "<u4"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4")])
+#: bytes of open runs gathered before they are sent
+PACK_BYTES = 8 << 20
+#: a run: its suffix's leading bytes as four numbers in text order, its text's hash, document, part, first window, windows, and the suffix's place after it
+TEXT = ("t0", "t1", "t2", "t3")
+RUN = np.dtype([*((t, "<u8") for t in TEXT), ("eh", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("s", "<u4"), ("n", "<u2"), ("q", "<u2")])
+MARK = np.dtype([("doc", "<i8"), ("s", "<u4"), ("n", "<u2"), ("q", "<u2"), ("kind", "u1")])
 
 
 def selected(buf: np.ndarray, n_windows: int, width: int):
-    """Runs of windows with one selected suffix: (first window, windows, place of the suffix, leading-bytes hash), and the prefix hash."""
+    """Runs of windows with one selected suffix: (first window, windows, place of the suffix), and the prefix hash."""
     p, lead = Prefix(buf), min(LEAD, max(1, width // 3))
     at = np.arange(len(buf) - lead + 1)
     h = p.of(at, at + lead)
@@ -53,7 +62,7 @@ def selected(buf: np.ndarray, n_windows: int, width: int):
     pos = pos[:n_windows]
     cut = np.flatnonzero(np.diff(pos, prepend=-1))
     n = np.diff(np.append(cut, n_windows))
-    return cut, n, pos[cut].astype(np.int64), h, p
+    return cut, n, pos[cut].astype(np.int64), p
 
 
 def pieces(text: bytes, width: int):
@@ -77,20 +86,28 @@ def groups(docs, width: int):
         yield out
 
 
-def key_of(buf: np.ndarray, at: np.ndarray, kh: np.ndarray) -> np.ndarray:
-    """The partitioning key: five leading bytes in text order, then hash bits so that a common start can be cut too."""
-    key = np.zeros(len(at), np.uint64)
-    for j in range(5):
-        key = (key << np.uint64(8)) | buf[np.minimum(at + j, len(buf) - 1)].astype(np.uint64)
-    return (key << np.uint64(24)) | (kh >> np.uint64(40))
+def leading(buf: np.ndarray, at: np.ndarray, lead: int) -> np.ndarray:
+    """The leading bytes of suffixes as four numbers each that sort as the text does (unused bytes are zero)."""
+    rows = np.zeros((len(at), LEAD), np.uint8)
+    rows[:, :lead] = buf[at[:, None] + np.arange(lead)]
+    return rows.view(">u8").astype(np.uint64)
+
+
+def sort_key(rec: np.ndarray) -> np.ndarray:
+    """Bytes that sort as runs do: leading text, text hash, document, place."""
+    cols = [*(rec[t] for t in TEXT), rec["eh"], rec["doc"].astype(np.uint64) ^ np.uint64(1 << 63), rec["s"].astype(np.uint64)]
+    return np.ascontiguousarray(np.stack([c.astype(">u8") for c in cols], axis=1)).view("S56").ravel()
+
 
+def run_order(rec: np.ndarray) -> np.ndarray:
+    return multikey_order(*(rec[t] for t in TEXT), rec["eh"], rec["doc"], rec["s"])
 
-def runs_of(group, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of a buffer as RUN records (part left 0), and their partitioning keys."""
-    recs, keys = [], []
+
+def runs_of(group, width: int) -> np.ndarray:
+    """Runs of a buffer as RUN records (part left 0)."""
     buf = np.frombuffer(b"".join(b for _, _, b in group), np.uint8)
     ends = np.cumsum([len(b) for _, _, b in group])
-    cut, n, pos, h, p = selected(buf, len(buf) - width + 1, width)
+    cut, n, pos, p = selected(buf, len(buf) - width + 1, width)
     # windows that run over the end of a document's piece do not count: cut runs at each piece's last window
     starts = np.concatenate(([0], ends[:-1]))
     own = np.searchsorted(ends, cut, side="right")
@@ -107,12 +124,12 @@ def runs_of(group, width: int) -> tuple[np.ndarray, np.ndarray]:
     ok = l > f
     f, l, q, d = f[ok], l[ok], q[ok], d[ok]  # noqa: E741
     rec = np.zeros(len(f), RUN)
-    rec["kh"], rec["eh"] = h[q], p.of(f, l + width - 1)
+    for t, c in zip(TEXT, leading(buf, q, min(LEAD, max(1, width // 3))).T, strict=True):
+        rec[t] = c
+    rec["eh"], rec["q"] = p.of(f, l + width - 1), q - f
     docs, offs = np.array([x[0] for x in group], np.int64), np.array([x[1] for x in group], np.int64)
     rec["doc"], rec["s"], rec["n"] = docs[d], f - starts[d] + offs[d], l - f
-    recs.append(rec)
-    keys.append(key_of(buf, q, rec["kh"]))
-    return np.concatenate(recs), np.concatenate(keys)
+    return rec
 
 
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
@@ -134,24 +151,66 @@ def multikey_order(*keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def decide(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, open) flags of runs: whole text seen earlier; first of its text where the leading bytes have several texts."""
-    order = multikey_order(rec["kh"], rec["eh"], rec["doc"], rec["s"])
+def decide(rec: np.ndarray):
+    """Kind of each run of a bucket, and what its neighbours need to know: (first leading text, text hash, texts), the same of the last, one group only.
+
+    Runs of the first and of the last leading text wait for the buckets beside: HEAD_FIRST, HEAD and TAIL are settled by ``settled``.
+    """
+    order = run_order(rec)
     r = rec[order]
     new_k = np.ones(len(r), bool)
-    new_k[1:] = r["kh"][1:] != r["kh"][:-1]
+    new_k[1:] = np.logical_or.reduce([r[t][1:] != r[t][:-1] for t in TEXT])
     new_e = new_k.copy()
     new_e[1:] |= r["eh"][1:] != r["eh"][:-1]
-    texts = np.add.reduceat(new_e.astype(np.int64), np.flatnonzero(new_k)) if len(r) else np.zeros(0, np.int64)
-    several = texts[np.cumsum(new_k) - 1] > 1 if len(r) else np.zeros(0, bool)
-    repeated, open_ = np.zeros(len(r), bool), np.zeros(len(r), bool)
-    repeated[order], open_[order] = ~new_e, new_e & several
-    return repeated, open_
-
-
-def marks_of(rec: np.ndarray, flag: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    group = np.cumsum(new_k) - 1
+    texts = np.bincount(group, weights=new_e).astype(np.int64)
+    kind = np.where(new_e, np.where(texts[group] > 1, OPEN, 0), REPEATED).astype(np.uint8)
+    kind[new_e & (group == group[-1])] = TAIL
+    kind[new_e & (group == 0)] = HEAD
+    kind[0] = HEAD_FIRST
+    out = np.zeros(len(r), np.uint8)
+    out[order] = kind
+    ends = [b"".join(int(r[t][i]).to_bytes(8, "big") for t in TEXT) + int(r["eh"][i]).to_bytes(8, "big") for i in (0, -1)]
+    return out, (ends[0], int(texts[0]), ends[1], int(texts[-1]), bool(group[-1] == 0))
+
+
+def settled(borders: dict[int, tuple]) -> dict[int, tuple[int, int, int]]:
+    """For each bucket the kinds that HEAD_FIRST, HEAD and TAIL stand for, from what the buckets beside it begin and end with."""
+    kinds: dict[int, list[int]] = {b: [0, 0, 0] for b in borders}
+    chain: list[tuple[int, int]] = []  # (bucket, 0 head or 1 tail) of one leading text across buckets
+    texts, last = 0, None
+
+    def close():
+        if texts > 1:
+            for b, side in chain:
+                if side:
+                    kinds[b][2] = OPEN
+                else:
+                    kinds[b][1] = OPEN
+                    kinds[b][0] = kinds[b][0] or OPEN
+
+    for b in sorted(borders):
+        first, n_first, end, n_last, alone = borders[b]
+        again = last == first  # the same leading text and the same run: the first here repeats it
+        if last is not None and last[:LEAD] == first[:LEAD]:
+            texts += n_first - again
+        else:
+            close()
+            chain, texts = [], n_first
+        if again:
+            kinds[b][0] = REPEATED
+        chain.append((b, 0))
+        if not alone:
+            close()
+            chain, texts = [(b, 1)], n_last
+        last = end
+    close()
+    return {b: tuple(k) for b, k in kinds.items()}
+
+
+def marks_of(rec: np.ndarray, flag: np.ndarray, kind) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(int(flag.sum()), MARK)
-    for k in ("doc", "s", "n"):
+    for k in ("doc", "s", "n", "q"):
         out[k] = rec[k][flag]
     out["kind"] = kind
     return out, rec["part"][flag]
@@ -174,9 +233,6 @@ def covered(n: int, marks: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-REPEATED, OPEN = 1, 2
-
-
 class Plan:
     """Sizes: parts of the documents, tasks, buckets; and the sampled splitters of the buckets."""
 
@@ -191,18 +247,19 @@ class Plan:
         def sample(batches):
             r = np.random.default_rng(1)
             for pdf in batches:
-                for g in groups(((0, encoded(t)) for t in pdf["text"]), width):
-                    _, keys = runs_of(g, width)
-                    yield pd.DataFrame({"k": r.choice(keys, min(len(keys), 64 * len(g)), replace=False).view(np.int64)})
+                for g in groups(zip(pdf["doc_id"].tolist(), map(encoded, pdf["text"]), strict=True), width):
+                    rec = runs_of(g, width)
+                    keys = sort_key(rec[r.choice(len(rec), min(len(rec), 64 * len(g)), replace=False)])
+                    yield pd.DataFrame({"k": [k.ljust(56, b"\x00") for k in keys.tolist()]})
 
-        some = docs.select("text").sample(False, min(1.0, SPLIT_DOCS / n), 3).limit(2 * SPLIT_DOCS)
-        keys = np.sort(np.array([r["k"] for r in some.mapInPandas(sample, "k long").collect()], np.int64).view(np.uint64))
+        some = docs.select("doc_id", "text").sample(False, min(1.0, SPLIT_DOCS / n), 3).limit(2 * SPLIT_DOCS)
+        keys = np.sort(np.array([bytes(r["k"]) for r in some.mapInPandas(sample, "k binary").collect()], "S56"))
         at = (np.arange(1, self.buckets) * len(keys)) // self.buckets
-        self.splitters = keys[at] if len(keys) else np.zeros(0, np.uint64)
+        self.splitters = keys[at] if len(keys) else np.zeros(0, "S56")
 
 
-def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """(part, payload of MARK): repeated runs and windows of documents (doc_id, part, text)."""
+def run_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
+    """(part, payload of MARK): repeated and open runs of documents (doc_id, part, text)."""
     spark = docs.sparkSession
     splitters = spark.sparkContext.broadcast(plan.splitters)
     buckets = plan.buckets
@@ -213,20 +270,20 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
         for pdf in batches:
             part_of = dict(zip(pdf["doc_id"].tolist(), pdf["part"].tolist(), strict=True))
             for g in groups(zip(pdf["doc_id"].tolist(), map(encoded, pdf["text"]), strict=True), width):
-                rec, keys = runs_of(g, width)
+                rec = runs_of(g, width)
                 if not len(rec):
                     continue
                 rec["part"] = [part_of[d] for d in rec["doc"].tolist()] if len(g) > 1 else part_of[g[0][0]]
                 rows = []
-                order = multikey_order(rec["kh"], rec["eh"], rec["doc"], rec["s"])
+                order = run_order(rec)
                 r = rec[order]
                 again = np.zeros(len(r), bool)
-                again[1:] = (r["kh"][1:] == r["kh"][:-1]) & (r["eh"][1:] == r["eh"][:-1])
+                again[1:] = np.logical_and.reduce([r[t][1:] == r[t][:-1] for t in (*TEXT, "eh")])
                 rows += [(p % buckets, p, m) for p, m in by_part(*marks_of(r, again, REPEATED))]
                 stay = np.zeros(len(rec), bool)
                 stay[order[~again]] = True
                 keep = rec[stay]  # in document order, which compresses
-                b = np.searchsorted(splitters.value, keys[stay], side="right")
+                b = np.searchsorted(splitters.value, sort_key(keep), side="right")
                 o = np.argsort(b, kind="stable")
                 keep, b = keep[o], b[o]
                 cut = np.flatnonzero(np.diff(b, prepend=-1))
@@ -234,19 +291,21 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["bucket", "part", "payload"])
 
     def sort_buckets(batches):
-        """Rows come ordered by bucket; one bucket is held at a time."""
+        """Rows come ordered by bucket; one bucket is held at a time. What waits goes out in rows that name the bucket, the bucket's ends with part -1."""
         at, held = None, []
 
         def flush():
             rec = unpacked(held, RUN)
-            repeated, open_ = decide(rec)
-            rows = [*by_part(*marks_of(rec, repeated, REPEATED)), *by_part(*marks_of(rec, open_, OPEN))]
-            return pd.DataFrame(rows, columns=["part", "payload"])
+            kind, ends = decide(rec)
+            sure, wait = (kind == REPEATED) | (kind == OPEN), kind > OPEN
+            rows = [(-1, *x) for x in by_part(*marks_of(rec, sure, kind[sure]))] + [(at, *x) for x in by_part(*marks_of(rec, wait, kind[wait]))]
+            rows.append((at, -1, pickle.dumps(ends)))
+            return pd.DataFrame(rows, columns=["wait", "part", "payload"])
 
         for pdf in batches:
             done = pdf["part"] >= 0
             if done.any():
-                yield pdf.loc[done, ["part", "payload"]]
+                yield pdf.loc[done, ["part", "payload"]].assign(wait=-1)[["wait", "part", "payload"]]
             pdf = pdf[~done]
             for b, payload in zip(pdf["bucket"].tolist(), pdf["payload"], strict=True):
                 if b != at and held:
@@ -258,7 +317,25 @@ def repeated_marks(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
             yield flush()
 
     sent = docs.mapInPandas(send, "bucket int, part int, payload binary")
-    return sent.repartition(plan.tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(sort_buckets, "part int, payload binary")
+    sorted_ = stash(sent.repartition(plan.tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(sort_buckets, "wait int, part int, payload binary"), "marks", free=True)
+    # two ends for each bucket, whatever the number of documents
+    kinds = spark.sparkContext.broadcast(settled({r["wait"]: pickle.loads(r["payload"]) for r in sorted_.where("part = -1").collect()}))
+
+    def settle(batches):
+        for pdf in batches:
+            rows = []
+            for wait, part, payload in zip(pdf["wait"].tolist(), pdf["part"].tolist(), pdf["payload"], strict=True):
+                if wait >= 0:
+                    m = unpacked([payload], MARK)
+                    m["kind"] = np.array([0, 0, 0, *kinds.value[wait]], np.uint8)[m["kind"]]
+                    m = m[m["kind"] > 0]
+                    if not len(m):
+                        continue
+                    payload = packed(m)
+                rows.append((part, payload))
+            yield pd.DataFrame(rows, columns=["part", "payload"])
+
+    return sorted_.where("part >= 0").mapInPandas(settle, "part int, payload binary")
 
 
 def beside(docs: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
@@ -286,70 +363,90 @@ def with_marks(batches):
             yield part, int(doc), text, own.get(int(doc))
 
 
+def halves(b: bytes, s: int, n: int, q: int, width: int):
+    """The windows [s, s + n) around the selected place q as at most two suffixes: (text of the windows, where the suffix begins in it, its length, first window, windows)."""
+    lead = min(LEAD, max(1, width // 3))
+    half = (width - lead) // 2
+    cut = max(s, min(s + n, q - half + 1))  # windows from here on reach less than half bytes left of q
+    if cut > s:
+        yield b[s : cut + width - 1], q - half - s, half + lead, s, cut - s
+    if cut < s + n:
+        yield b[cut : s + n + width - 1], q - cut, width - half + 1, cut, s + n - cut
+
+
 def window_marks(docs: DataFrame, marks: DataFrame, width: int, plan: Plan) -> DataFrame:
     """Windows of the open runs that start earlier too, as marks (part, payload)."""
-    buckets = plan.buckets
 
-    def hashes(batches):
+    def suffixes(batches):
+        """Open runs with their text; of those with one text the first of a batch goes out, the others are known to be repeated."""
         out, total = [], 0
 
         def pack():
-            w = np.concatenate(out)
-            b = (w["wh"] % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(b, kind="stable")  # within a bucket in document order, which compresses
-            w, b = w[o], b[o]
-            cut = np.flatnonzero(np.diff(b, prepend=-1))
-            return pd.DataFrame([(int(b[x]), packed(w[x:y])) for x, y in zip(cut, np.append(cut[1:], len(b)), strict=True)], columns=["bucket", "payload"])
+            out.sort(key=lambda r: (r[3], r[5]))
+            first: set = set()
+            rows, again, parts = [], [], []
+            for text, at, size, doc, part, s, n in out:
+                if (text, at, size) in first:
+                    again.append((doc, s, n, 0, REPEATED))
+                    parts.append(part)
+                else:
+                    first.add((text, at, size))
+                    rows.append((text, at, size, doc, part, s, n, None))
+            rows += [(None, None, None, None, p, None, None, payload) for p, payload in by_part(np.array(again, MARK), np.array(parts, np.int64))] if again else []
+            return pd.DataFrame(rows, columns=["text", "at", "size", "doc", "part", "s", "n", "payload"]).astype({"at": "Int32", "size": "Int32", "doc": "Int64", "s": "Int64", "n": "Int32"})
 
         for part, doc, text, m in with_marks(batches):
             m = m[m["kind"] == OPEN] if m is not None else ()
             if not len(m):
                 continue
             b = encoded(text)
-            for at, piece in pieces(b, width):
-                own = m[(m["s"] >= at) & (m["s"] < at + PIECE_BYTES)]
-                if not len(own):
-                    continue
-                p = Prefix(np.frombuffer(piece, np.uint8))
-                n = own["n"].astype(np.int64)
-                s = np.repeat(own["s"].astype(np.int64) - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                w = np.zeros(len(s), WIN)
-                # two hashes of the same 100 bytes: whole, and of the halves crossed
-                w["wh"], w["kh"] = p.of(s, s + width), (p.of(s, s + width // 2) * np.uint64(3) + p.of(s + width // 2, s + width)) >> np.uint64(32)
-                w["doc"], w["part"], w["s"] = doc, part, s + at
-                out.append(w)
-                total += len(w)
-            if total > 200_000:
+            for s, n, q in zip(m["s"].tolist(), m["n"].tolist(), m["q"].tolist(), strict=True):
+                for t, at, size, first, k in halves(b, s, n, s + q, width):
+                    out.append((t, at, size, doc, part, first, k))
+                    total += len(t) + 64
+            if total > PACK_BYTES:
                 yield pack()
                 out, total = [], 0
         if out:
             yield pack()
 
-    def first(batches):
-        at, held = None, []
+    def compare(batches):
+        """Rows come ordered by leading text, document and place: a window that was seen before under this text is repeated. One leading text is held at a time."""
+        key, seen, found, parts = None, set(), [], []
 
         def flush():
-            w = unpacked(held, WIN)
-            o = multikey_order(w["wh"], w["kh"], w["doc"], w["s"])
-            w = w[o]
-            again = np.zeros(len(w), bool)
-            again[1:] = (w["wh"][1:] == w["wh"][:-1]) & (w["kh"][1:] == w["kh"][:-1])
-            m = np.zeros(int(again.sum()), MARK)
-            m["doc"], m["s"], m["n"], m["kind"] = w["doc"][again], w["s"][again], 1, REPEATED
-            return pd.DataFrame(list(by_part(m, w["part"][again])), columns=["part", "payload"])
+            rows = list(by_part(np.array(found, MARK), np.array(parts, np.int64)))
+            return pd.DataFrame(rows, columns=["part", "payload"])
 
         for pdf in batches:
-            for b, payload in zip(pdf["bucket"].tolist(), pdf["payload"], strict=True):
-                if b != at and held:
-                    yield flush()
-                    held = []
-                at = b
-                held.append(payload)
-        if held:
+            for text, lead, doc, part, s, n in zip(pdf["text"], pdf["lead"], pdf["doc"].tolist(), pdf["part"].tolist(), pdf["s"].tolist(), pdf["n"].tolist(), strict=True):
+                if lead != key:
+                    key, seen = lead, set()
+                since = None
+                for i in range(n + 1):
+                    again = False
+                    if i < n:
+                        w = text[i : i + width]
+                        again = w in seen
+                        if not again:
+                            seen.add(w)
+                    if again and since is None:
+                        since = i
+                    elif not again and since is not None:
+                        found.append((doc, s + since, i - since, 0, REPEATED))
+                        parts.append(part)
+                        since = None
+            if len(found) > 100_000:
+                yield flush()
+                found, parts = [], []
+        if found:
             yield flush()
 
-    sent = beside(docs, marks, plan).mapInPandas(hashes, "bucket int, payload binary")
-    return sent.repartition(plan.tasks, "bucket").sortWithinPartitions("bucket").mapInPandas(first, "part int, payload binary")
+    shape = "text binary, at int, size int, doc long, part int, s long, n int, payload binary"
+    sent = stash(beside(docs, marks, plan).mapInPandas(suffixes, shape), "suffixes", free=True)
+    rows = sent.where("payload is null").select("text", "doc", "part", "s", "n", F.expr("substring(text, at + 1, size)").alias("lead"))
+    placed = rows.repartitionByRange(plan.tasks, "lead").sortWithinPartitions("lead", "doc", "s")
+    return placed.mapInPandas(compare, "part int, payload binary").unionByName(sent.where("payload is not null").select("part", "payload"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -357,23 +454,23 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     ``keep``, whose names must differ from these).
 
     Every byte under a ``width``-byte string that also starts earlier (smaller id, or the same document further left) goes; strings are judged on
-    the input. Null texts are empty; texts under ``width`` bytes lose nothing; rows with one id are one document's rivals in an order by
+    the input. An empty table gives no rows. Null texts are empty; texts under ``width`` bytes lose nothing; rows with one id are one document's rivals in an order by
     text, so repeated rows keep one copy; rows with a null id come before all others. Remaining bytes that no
     longer form UTF-8 (a character cut in two) are dropped from the kept text, not from its digest.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("real"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in keep)).alias("kept"))
-    plan = Plan(base, width)
     n, ids = base.agg(F.count(F.lit(1)), F.count("real")).first()
     unique = n == ids and base.groupBy("real").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() == 0
     if unique:
         keyed = base.withColumn("key", F.col("real"))
     else:  # a key in the order of ids, then texts
-        keyed = stash(base.repartitionByRange(plan.tasks, "real", "text").sortWithinPartitions("real", "text").withColumn("key", F.monotonically_increasing_id()), "keyed")
+        keyed = stash(base.repartitionByRange(partitions_for(base, 12), "real", "text").sortWithinPartitions("real", "text").withColumn("key", F.monotonically_increasing_id()), "keyed")
+    plan = Plan(keyed.select(F.col("key").alias("doc_id"), "text"), width)
     keyed = keyed.select(F.col("key").alias("doc_id"), F.pmod(F.xxhash64("key"), F.lit(plan.parts)).cast("int").alias("part"), "text", "real", "kept")
     body = keyed.select("doc_id", "part", "text")
     arrow_rows(spark, 512)
-    marks = stash(repeated_marks(body, width, plan), "marks", free=True)
+    marks = run_marks(body, width, plan)
     fine = stash(window_marks(body, marks, width, plan), "fine", free=True)
     whole = beside(body, marks.unionByName(fine), plan)
 

@@ -62,11 +62,40 @@ def test_suffix_dedup_over_piece_borders(spark, monkeypatch):
     runs = []
     for doc, t in texts:
         for g in suffix_dedup.groups([(doc, t.encode())], 50):
-            rec, _ = suffix_dedup.runs_of(g, 50)
+            rec = suffix_dedup.runs_of(g, 50)
             runs += [(doc, int(s) + k) for s, n in zip(rec["s"], rec["n"], strict=True) for k in range(n)]
     assert sorted(runs) == [(d, i) for d, t in texts for i in range(len(t.encode()) - 49)]  # each window in one run
 
 
+def test_buckets_settle_across_their_borders():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        rec = np.zeros(60, suffix_dedup.RUN)
+        rec["t0"], rec["eh"], rec["doc"] = r.integers(0, 4, 60), r.integers(0, 3, 60), r.permutation(60)
+        whole = {}
+        texts = {}
+        for x in rec[suffix_dedup.run_order(rec)]:
+            texts.setdefault(int(x["t0"]), set()).add(int(x["eh"]))
+        seen = set()
+        for x in rec[suffix_dedup.run_order(rec)]:
+            k = (int(x["t0"]), int(x["eh"]))
+            whole[int(x["doc"])] = suffix_dedup.REPEATED if k in seen else suffix_dedup.OPEN if len(texts[k[0]]) > 1 else 0
+            seen.add(k)
+        keys = suffix_dedup.sort_key(rec)
+        b = np.searchsorted(np.sort(r.choice(keys, 8, replace=False)), keys, side="right")
+        found, borders = {}, {}
+        for i in np.unique(b).tolist():
+            found[i], borders[i] = suffix_dedup.decide(rec[b == i])
+        kinds = suffix_dedup.settled(borders)
+        got = {}
+        for i, kind in found.items():
+            for d, k in zip(rec["doc"][b == i].tolist(), kind.tolist(), strict=True):
+                got[d] = k if k <= suffix_dedup.OPEN else kinds[i][k - suffix_dedup.HEAD_FIRST]
+        assert got == whole
+
+
 def test_multikey_order_is_lexicographic():
     import numpy as np
 
