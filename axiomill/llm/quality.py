@@ -218,8 +218,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     under ``names`` that do not clash with them.
 
     Labels of rows whose crc32(id) mod ``modulus`` is ``held_out`` are never used; a null id counts as remainder 0 and has no label. Null and empty texts are
-    pooled to the zero vector and scored as such. If only one class can be learned from, every score is that class (0 or 1); without any label it
-    is 0.5. Whole texts are scored, repeated rows each and alike; an empty table gives no rows; other columns are not read.
+    pooled to the zero vector and scored as such. If only one class can be learned from, every score is that class (0 or 1); without any label nothing speaks against a text and it
+    is 1. Whole texts are scored, repeated rows each and alike; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     model = fit(docs, labels, id_col, text_col, label, modulus, held_out)
@@ -231,7 +231,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         release()
-        same = 0.5 if shared.value is None else shared.value
+        same = 1.0 if shared.value is None else shared.value
         vocab, vectors, net = same if isinstance(same, tuple) else (None, None, None)
         pooler = Pooler(vocab, vectors) if net else None
         for pdf in batches:
