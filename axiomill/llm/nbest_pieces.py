@@ -36,8 +36,9 @@ PARTS = 1 << 44
 class Vocabulary:
     """Pieces and scores of a public sentencepiece model; byte pieces stand in for characters outside it.
 
-    The model's own scores order merges; a piece's score here is the log of a Zipf probability of that rank, so that sums
-    over a segmentation compare.
+    The model is one of merges: its own scores are minus the rank of each merge, and as summands they would prefer many early fragments to one
+    word. A piece's score here is the log of a Zipf probability of that rank. With these scores the segmentations and ids are those of the
+    library's unigram encoding over the same pieces (a test holds them against it), a space before the text included where the model asks for one.
     """
 
     def __init__(self, model_path: str):
@@ -45,6 +46,7 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = sp.get_piece_size()
+        self.prefix = sp.encode("a", out_type=str)[0].startswith(MARK)  # texts are encoded with a space before them
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         rank = {i: r for r, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
@@ -102,7 +104,7 @@ class Vocabulary:
             out.append(self.pieces[int(i)].replace(MARK, " "))
         if run:
             out.append(run.decode("utf-8", "replace"))
-        return "".join(out)
+        return "".join(out).removeprefix(" " if self.prefix else "")
 
 
 #: a word mark that the text itself holds travels as this lone surrogate, which no valid text has, so that it is not taken for a space
@@ -315,8 +317,8 @@ def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "do
     """Per document: doc_id, n_words, n_pieces, ids_crc32 (of the best ids, little-endian 32-bit), best_score, n_best (array of scores, best
     first), round_trip (decoding the ids gives the text); with_ids adds the ids of the best and of each other segmentation.
 
-    Null and empty texts have no pieces, the score 0 and one segmentation; repeated rows are encoded each; whole texts are used, and words of
-    any length are searched whole. Other columns are not read.
+    Null and empty texts have no pieces, the score 0 and one segmentation; null ids stay null; repeated rows are encoded each; an empty table
+    gives no rows. Whole texts are used, and words of any length are searched whole. Other columns are not read.
     """
     spark = docs.sparkSession
     arrow_rows(spark, 2048)
@@ -325,7 +327,7 @@ def encode_texts(docs: DataFrame, model_path: str, n: int = 4, id_col: str = "do
         seg = segmenter(model_path, n)
         for pdf in batches:
             texts = ["" if t is None else t for t in pdf["text"]]
-            split = [words_in(t) for t in texts]
+            split = [words_in(" " + t if t and seg.vocab.prefix else t) for t in texts]
             places = seg.prepare(split)
             rows = []
             for doc, text, words, at in zip(pdf["doc_id"].array, texts, split, places, strict=True):
@@ -350,7 +352,7 @@ def seg_decode(seg: Segmenter, ids: np.ndarray) -> str:
         v = seg.vocab
         seg.spelled = [bytes([v.byte_of[i]]) if i in v.byte_of else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(v.pieces)]
     t = seg.spelled
-    return b"".join([t[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    return b"".join([t[i] for i in ids.tolist()]).decode("utf-8", "replace").removeprefix(" " if seg.vocab.prefix else "")
 
 
 def query(spark, sf_dir):

@@ -251,6 +251,66 @@ def test_long_words_take_linear_time(vocab):
         assert len(found) == 4 - 3 * (word[0] == "日") and all(p[0][0] == 0 and p[-1][1] == len(word) for _, p in found)
 
 
+def unigram_model(vocab):
+    """The library over the same pieces with our scores, as a unigram model: the public model's file with its kind and scores replaced."""
+    import struct
+
+    import sentencepiece
+
+    def number(b, i):
+        n = shift = 0
+        while True:
+            n, shift, i = n | (b[i] & 127) << shift, shift + 7, i + 1
+            if b[i - 1] < 128:
+                return n, i
+
+    def written(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + written(n >> 7)
+
+    def fields(b):
+        i = 0
+        while i < len(b):
+            key, j = number(b, i)
+            if key & 7 == 2:
+                n, j = number(b, j)
+                end, value = j + n, b[j : j + n]
+            else:
+                end = number(b, j)[1] if key & 7 == 0 else j + (4 if key & 7 == 5 else 8)
+                value = b[j:end]
+            yield key >> 3, value, b[i:end]
+            i = end
+
+    out, at = b"", 0
+    with open(MODEL, "rb") as h:
+        for field, value, whole in fields(h.read()):
+            if field == 1:
+                own = b"".join(w for f, _, w in fields(value) if f != 2)
+                if vocab.score[at] > nbest_pieces.NEVER:
+                    own += b"\x15" + struct.pack("<f", vocab.score[at])
+                whole, at = b"\x0a" + written(len(own)) + own, at + 1
+            elif field == 2:
+                own = b"".join(w for f, _, w in fields(value) if f != 3) + b"\x18\x01"
+                whole = b"\x12" + written(len(own)) + own
+            out += whole
+    return sentencepiece.SentencePieceProcessor(model_proto=out)
+
+
+def test_ids_are_those_of_the_library(spark, vocab):
+    lib = unigram_model(vocab)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").selectExpr("doc_id", "substring(text, 1, 400) as text")
+    rows, same = nbest_pieces.encode_texts(docs, MODEL, n=3, with_ids=True).collect(), 0
+    by = {r["doc_id"]: r["text"] for r in docs.collect()}
+    score = lambda ids: sum(vocab.score[i] if vocab.score[i] > nbest_pieces.NEVER else vocab.byte_score for i in ids)
+    for r in rows:
+        theirs = lib.encode(by[r["doc_id"]])
+        same += theirs == r["ids"]
+        assert theirs == r["ids"] or score(theirs) == pytest.approx(r["best_score"], abs=1e-3)  # the library adds in single precision
+        assert lib.decode(r["ids"]) == by[r["doc_id"]] == vocab.decode(r["ids"])
+        best = lib.nbest_encode(by[r["doc_id"]], nbest_size=3)
+        assert [score(x) for x in best] == pytest.approx(r["n_best"][: len(best)], abs=2e-3)
+    assert same > 0.95 * len(rows)
+
+
 def test_encoding_round_trips(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as n_best")
     rows = nbest_pieces.encode_texts(df, MODEL, n=3, with_ids=True).collect()
