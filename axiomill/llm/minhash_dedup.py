@@ -114,22 +114,23 @@ def with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
     return dealt.join(own.select(F.col("v").alias(side), "at", F.col("n").alias(f"n{side}"), F.col("s").alias(f"s{side}")), [side, "at"]).drop("at")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (v, p, c, d), d and c labels, whose whole sets are similar enough."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """The pairs (v, p, c, d), d and c labels, whose whole sets are similar enough. ``once``: every v is in one pair, so its set needs no dealing."""
 
     def run(batches):
         for pdf in batches:
             ok = [linked(x, y, percent) for x, y in zip(pdf["sv"], pdf["sp"], strict=True)]
             yield pdf.loc[ok, ["v", "p", "c", "d"]]
 
-    y = with_set(with_set(pairs, sets, "v"), sets, "p")
+    first = pairs.join(sets.select("v", F.col("n").alias("nv"), F.col("s").alias("sv")), "v") if once else with_set(pairs, sets, "v")
+    y = with_set(first, sets, "p")
     y = y.where(F.least("nv", "np") * 100 >= F.greatest("nv", "np") * percent)
     return y.select("v", "p", "c", "d", "sv", "sp").mapInPandas(run, "v long, p long, c long, d long")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (v, c) after two steps to the smallest over linked labels: enough for stars, and never joins what is not linked."""
-    e = links.select("c", "d").where("c <> d").distinct()
+    e = links.select("c", "d").where("c <> d")
     e = e.unionByName(e.select(F.col("d").alias("c"), F.col("c").alias("d")))
     one = e.groupBy("c").agg(F.min("d").alias("m")).select("c", F.least("c", "m").alias("m"))
     two = e.join(one.select(F.col("c").alias("d"), "m"), "d").groupBy("c").agg(F.min("m").alias("m"))
@@ -157,11 +158,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labels = sets.select("v", F.col("v").alias("c")).distinct()
     links = None
     for r in range(PIVOTS + 1):
-        mixed = mixed_buckets(buckets, labels)
-        pairs = stash(pivot_pairs(mixed, r) if r < PIVOTS else rest_pairs(mixed, sets, percent), "pairs")
+        pairs = stash(pivot_pairs(buckets, labels, r) if r < PIVOTS else rest_pairs(mixed_buckets(buckets, labels), sets, percent), "pairs")
         if pairs.isEmpty():
             continue  # these pivots have nothing new; the exact round decides
-        found = stash(confirm(pairs, sets, percent), "links")
+        found = stash(confirm(pairs, sets, percent, once=r < PIVOTS), "links")
         links = found if links is None else links.unionByName(found)
         if r < PIVOTS:
             labels = stash(relabelled(labels, found), "labels")
@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 
 def tables(cls: DataFrame) -> DataFrame:
-    """(key, v): the table entries of classes that share a key. A class can only share a table with another that shares both
-    half-keys, so half-keys that one class alone has are dropped before pairing."""
+    """(key, v, k): the table entries of classes that share a key, and how many share it. A class can only share a table with another that
+    shares both half-keys, so half-keys that one class alone has are dropped before pairing."""
     each = cls.select("v", F.posexplode("halves").alias("slot", "half"))
     shared = each.groupBy("slot", "half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("slot", "half")
     live = each.join(shared, ["slot", "half"]).groupBy("v").agg(F.collect_list(F.struct("slot", "half")).alias("h"))
@@ -194,15 +194,14 @@ def tables(cls: DataFrame) -> DataFrame:
     right = F.filter("h", lambda x: x["slot"] >= SIDE)
     keys = live.select("v", F.explode(left).alias("l"), right.alias("r")).select("v", "l", F.explode("r").alias("r"))
     keys = keys.select(F.xxhash64("l.slot", "l.half", "r.slot", "r.half").alias("key"), "v")
-    full = keys.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("key")
-    return keys.join(full, "key", "left_semi")
+    full = keys.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y").select("key", "k")
+    return keys.join(full, "key")
 
 
 def centred(entries: DataFrame) -> DataFrame:
     """(key, v, w): with the number of entries that a class meets over all its buckets. Texts in the middle of a group of copies meet
     most, and make the best pivots."""
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    meets = entries.join(sizes, "key").groupBy("v").agg(F.sum("k").alias("w"))
+    meets = entries.groupBy("v").agg(F.sum("k").alias("w"))
     return entries.join(meets, "v").select("key", "v", "w")
 
 
@@ -230,13 +229,16 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(several, "key", "left_semi")
 
 
-def pivot_pairs(mixed: DataFrame, r: int) -> DataFrame:
-    """(v, p, c, d): one pair for each class, with the pivot of another component that it meets in most buckets; both labels."""
+def pivot_pairs(buckets: DataFrame, labels: DataFrame, r: int) -> DataFrame:
+    """(v, p, c, d): one pair for each class, with the pivot of another component that it meets in most buckets; both labels.
+    Only buckets that still hold several components have a pivot; one grouping by key finds both."""
+    now = buckets.join(labels, "v")
     chance = F.lit(1.0) if r == 0 else F.pmod(F.xxhash64("v", F.lit(r)), F.lit(1 << 20)) / float(1 << 20)
-    pivot = mixed.groupBy("key").agg(F.max(F.struct((F.col("w") * chance).alias("h"), F.col("v").alias("p"), F.col("c").alias("d"))).alias("z")).select("key", "z.p", "z.d")
-    met = mixed.join(pivot, "key").where("c <> d").groupBy("v", "c", "p", "d").agg(F.count(F.lit(1)).alias("k"))
-    best = met.groupBy("v").agg(F.max(F.struct("k", "p", "c", "d")).alias("z"))
-    return best.select("v", "z.p", "z.c", "z.d")
+    best = F.max(F.struct((F.col("w") * chance).alias("h"), F.col("v").alias("p"), F.col("c").alias("d"))).alias("z")
+    pivot = now.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), best).where("x <> y").select("key", "z.p", "z.d")
+    met = now.join(pivot, "key").where("c <> d").groupBy("v", "c", "p", "d").agg(F.count(F.lit(1)).alias("k"))
+    most = met.groupBy("v").agg(F.max(F.struct("k", "p", "c", "d")).alias("z"))
+    return most.select("v", "z.p", "z.c", "z.d")
 
 
 def rest_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
