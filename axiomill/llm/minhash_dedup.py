@@ -4,7 +4,8 @@ Two small collections of half-keys (each of ``ROWS`` minhashes) form SIDE x SIDE
 serve SIDE**2 tables of 2 * ROWS rows. Texts with equal shingle sets are one class from the start.
 Classes that share a table key are candidates. They are compared with one pivot of their bucket
 at a time - never all pairs of a bucket - and only while their bucket holds several components; what is left after the pivots
-is compared across components only, through an exact prefix filter. Between rounds labels grow by one step over the new links (they may
+is compared across components only, through an exact prefix filter and a bound from bitmaps: first with a few texts of each
+component that have least of their own, then, where that joined nothing, with all. Between rounds labels grow by one step over the new links (they may
 stay finer than the components, which costs comparisons, never links); components are computed once, at the end.
 """
 
@@ -12,15 +13,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import LOWER, arrow_rows, chunks, encoded, joined, mix, release, stash, table, trim, word_hashes, words_of
 
 SHINGLE, SIDE, ROWS = 5, 12, 2
-#: rounds of pivots before the exact comparison of what is left; bytes of text hashed at once
-PIVOTS, CHUNK = 4, 1 << 19
+#: rounds of pivots before the exact comparison of what is left; texts of a component that stand for it at first; bytes of text hashed at once
+PIVOTS, CENTRAL, CHUNK = 2, 16, 1 << 19
+#: bits of a set's bitmap
+BITS = 512
 #: pairs of one pivot that meet its set in one place; a pivot with more is dealt over several
 HUB = 512
 IS_WORD = np.ones(256, bool)
@@ -74,6 +77,11 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(np.uint64(a).view(np.int64))), int(np.uint64(b).view(np.int64))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Of each of BITS residues whether an odd number of hashes has it. Bitmaps differ in no more places than their sets."""
+    return np.packbits((np.bincount((mix(s) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, halves array<long>)."""
 
@@ -105,25 +113,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """Pairs with the whole set of one side. A side with many pairs has its set dealt over several places, by the other side."""
-    other = "p" if side == "v" else "v"
-    hubs = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB).select(side, F.ceil(F.col("k") / HUB).cast("int").alias("deal"))
-    dealt = pairs.join(hubs, side, "left").withColumn("at", F.coalesce(F.pmod(F.xxhash64(other), F.col("deal")), F.lit(0)).cast("int")).drop("deal")
-    own = sets.join(hubs.withColumnRenamed(side, "v"), "v", "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(1)) - 1)))
-    return dealt.join(own.select(F.col("v").alias(side), "at", F.col("n").alias(f"n{side}"), F.col("s").alias(f"s{side}")), [side, "at"]).drop("at")
+def dealt(pairs: DataFrame, hubs: DataFrame, side: str) -> DataFrame:
+    """Pairs with the place (at_v or at_p) where they meet the set of that side, chosen by the other side."""
+    place = F.pmod(F.xxhash64("p" if side == "v" else "v"), F.col("deal"))
+    return pairs.join(hubs, side, "left").withColumn(f"at_{side}", F.coalesce(place, F.lit(0)).cast("int")).drop("deal")
+
+
+def with_set(pairs: DataFrame, sets: DataFrame, hubs: DataFrame, side: str) -> DataFrame:
+    """Pairs with the whole set of one side. Only the sets of hubs are copied to further places."""
+    own = sets.select("v", F.lit(0).alias("at"), "n", "s")
+    more = sets.join(hubs.withColumnRenamed(side, "v"), "v").select("v", F.explode(F.sequence(F.lit(1), F.col("deal") - 1)).alias("at"), "n", "s")
+    own = own.unionByName(more).select(F.col("v").alias(side), F.col("at").alias(f"at_{side}"), F.col("n").alias(f"n{side}"), F.col("s").alias(f"s{side}"))
+    return pairs.join(own, [side, f"at_{side}"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """The pairs (v, p, c, d), d and c labels, whose whole sets are similar enough. ``once``: every v is in one pair, so its set needs no dealing."""
+    """The pairs (v, p, c, d), d and c labels, whose whole sets are similar enough; ``pairs`` is stored, since it is read several times.
+    A side in many pairs has its set dealt over several places. ``once``: every v is in one pair, so its set needs no dealing."""
 
     def run(batches):
         for pdf in batches:
             ok = [linked(x, y, percent) for x, y in zip(pdf["sv"], pdf["sp"], strict=True)]
             yield pdf.loc[ok, ["v", "p", "c", "d"]]
 
-    first = pairs.join(sets.select("v", F.col("n").alias("nv"), F.col("s").alias("sv")), "v") if once else with_set(pairs, sets, "v")
-    y = with_set(first, sets, "p")
+    hubs = {x: pairs.groupBy(x).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HUB).select(x, F.ceil(F.col("k") / HUB).cast("int").alias("deal")) for x in ("v", "p")}
+    y = dealt(pairs, hubs["p"], "p")
+    if once:
+        y = y.join(sets.select("v", F.col("n").alias("nv"), F.col("s").alias("sv")), "v")
+    else:
+        y = with_set(dealt(y, hubs["v"], "v"), sets, hubs["v"], "v")
+    y = with_set(y, sets, hubs["p"], "p")
     y = y.where(F.least("nv", "np") * 100 >= F.greatest("nv", "np") * percent)
     return y.select("v", "p", "c", "d", "sv", "sp").mapInPandas(run, "v long, p long, c long, d long")
 
@@ -157,13 +176,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     sets = stash(candidate_sets(base, wanted, sig), "sets")
     labels = sets.select("v", F.col("v").alias("c")).distinct()
     links = None
-    for r in range(PIVOTS + 1):
-        pairs = stash(pivot_pairs(buckets, labels, r) if r < PIVOTS else rest_pairs(mixed_buckets(buckets, labels), sets, percent), "pairs")
+    for r in range(PIVOTS + 2):
+        if r == PIVOTS:
+            prefix = stash(prefixes(mixed_buckets(buckets, labels), sets, percent), "prefixes")
+        pairs = stash(pivot_pairs(buckets, labels, r) if r < PIVOTS else rest_pairs(prefix, labels, percent, central=r == PIVOTS), "pairs")
         if pairs.isEmpty():
             continue  # these pivots have nothing new; the exact round decides
         found = stash(confirm(pairs, sets, percent, once=r < PIVOTS), "links")
         links = found if links is None else links.unionByName(found)
-        if r < PIVOTS:
+        if r <= PIVOTS:
             labels = stash(relabelled(labels, found), "labels")
     if links is not None:
         # what the steps have not joined yet: links between different labels
@@ -206,7 +227,7 @@ def centred(entries: DataFrame) -> DataFrame:
 
 
 def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFrame:
-    """(v, n, s array<long>): the whole set of each candidate class, from the text of its smallest id."""
+    """(v, n, s array<long>, b array<long>): the whole set of each candidate class, from the text of its smallest id, and its bitmap."""
 
     def run(batches):
         for pdf in batches:
@@ -215,10 +236,10 @@ def candidate_sets(base: DataFrame, wanted: DataFrame, sig: DataFrame) -> DataFr
                 sets = shingle_sets(part)
                 sub = pdf.iloc[at : at + len(part)]
                 ok = [fingerprint(s) == (a, b) for s, a, b in zip(sets, sub["f1"], sub["f2"], strict=True)]
-                yield pd.DataFrame({"v": sub["v"].to_numpy()[ok], "n": [len(s) for s, k in zip(sets, ok, strict=True) if k], "s": [s.view(np.int64) for s, k in zip(sets, ok, strict=True) if k]})
+                yield pd.DataFrame({"v": sub["v"].to_numpy()[ok], "n": [len(s) for s, k in zip(sets, ok, strict=True) if k], "s": [s.view(np.int64) for s, k in zip(sets, ok, strict=True) if k], "b": [bitmap(s) for s, k in zip(sets, ok, strict=True) if k]})
 
     texts = base.join(wanted.select(F.col("v").alias("doc_id"), "f1", "f2"), "doc_id").select(F.col("doc_id").alias("v"), "f1", "f2", "text")
-    found = texts.mapInPandas(run, "v long, n long, s array<long>")
+    found = texts.mapInPandas(run, "v long, n long, s array<long>, b array<long>")
     return found
 
 
@@ -241,25 +262,39 @@ def pivot_pairs(buckets: DataFrame, labels: DataFrame, r: int) -> DataFrame:
     return most.select("v", "z.p", "z.c", "z.d")
 
 
-def rest_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every pair (v, p, c, d) of classes of different components in mixed buckets that can still be a link, by an exact prefix filter.
+def prefixes(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(v, n, z, i, t, b): the shingles t by which texts of different components in mixed buckets can meet, by an exact prefix filter.
 
-    With shingles ordered from rare to frequent, two sets of that similarity share one of their first n - ceil(percent * n / 100) + 1. A text
-    that differs from its group in a quarter of its shingles has only shingles of its own there and meets nobody.
+    With shingles ordered from rare to frequent, two sets of that similarity share one of their first n - ceil(percent * n / 100) + 1. Shingles
+    that one component alone has come first, as no other component shares them; z counts these and i is a shingle's place in its text's order.
+    A text that differs from all other components in a quarter of its shingles has only such ones there and meets nobody. Labels may grow
+    afterwards: what one label alone had, one component alone still has.
     """
     open_ = stash(mixed.select("v", "c").distinct().join(sets, "v"), "open")
-    shingles = open_.select("v", F.explode("s").alias("t"))
-    often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = shingles.join(often, "t").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    own = open_.select("v", "c", "n").join(own, "v")
-    # shingles that one text alone has come first; i is a shingle's place in its text's order
-    alone = F.col("n") - F.size("ts")
-    left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
-    x = own.where(left > 0).select("v", "c", "n", alone.alias("z"), F.posexplode(F.slice("ts", F.lit(1), left.cast("int"))).alias("q", "e")).select("v", "c", "n", (F.col("z") + F.col("q") + 1).alias("i"), "e.t")
-    y = x.select(F.col("v").alias("p"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), "t")
+    shingles = open_.select("v", "c", F.explode("s").alias("t"))
+    often = shingles.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("t", "df")
+    own = shingles.select("v", "t").join(often, "t").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    own = open_.select("v", "n", "b").join(own, "v").withColumn("z", F.col("n") - F.size("ts"))
+    left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("z")
+    x = own.where(left > 0).select("v", "n", "z", "b", F.posexplode(F.slice("ts", F.lit(1), left.cast("int"))).alias("q", "e"))
+    return x.select("v", "n", "z", (F.col("z") + F.col("q") + 1).alias("i"), "e.t", "b")
+
+
+def rest_pairs(prefix: DataFrame, labels: DataFrame, percent: int, central: bool = False) -> DataFrame:
+    """Every pair (v, p, c, d) of different components that can still be a link. ``central``: both are among the CENTRAL texts of
+    their component with least of their own, so a large group meets each other text a few times only."""
+    x = prefix.join(labels, "v")
+    if central:
+        place = F.row_number().over(Window.partitionBy("c").orderBy("z", "v"))
+        few = x.select("v", "c", "z").distinct().withColumn("place", place).where(F.col("place") <= CENTRAL)
+        x = x.join(few.select("v"), "v", "left_semi")
+    y = x.select(F.col("v").alias("p"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("i").alias("j"), "t", F.col("b").alias("bp"))
     # at the first shingle that two texts share, what follows it in both must still hold the overlap that the link needs
     need = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent))
     fits = (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= need) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    # sets differ in at least as many shingles as their bitmaps in places
+    apart = sum((F.bit_count(F.col("b")[k].bitwiseXOR(F.col("bp")[k])) for k in range(BITS // 64)), F.lit(0))
+    fits &= (F.col("n") + F.col("m") - apart) * (100 + percent) >= 2 * percent * (F.col("n") + F.col("m"))
     hit = x.join(y, (x["t"] == y["t"]) & (F.col("c") != F.col("d")) & (F.col("v") < F.col("p")) & fits)
     return hit.select("v", "p", "c", "d").distinct()
 

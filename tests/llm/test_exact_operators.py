@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from axiomill.llm import decontaminate, minhash_dedup, suffix_dedup, topk, url_filters
@@ -153,6 +154,37 @@ def test_minhash_defined_results(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_group(n, words=150, edits=7, seed=8):
+    """Copies of one text with up to so many words changed: links hold them together, and some copies have them with a few others only."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randint(2, edits)):
+            w[r.randrange(words)] = f"x{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    seen, confirm = [], minhash_dedup.confirm
+    monkeypatch.setattr(minhash_dedup, "confirm", lambda pairs, *a, **b: seen.append(pairs.count()) or confirm(pairs, *a, **b))
+    rows = near_group(600)
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_near(rows)
+    assert sum(seen) < 5 * len(rows), seen
+
+
+def test_bitmaps_differ_in_no_more_places_than_sets():
+    r = np.random.default_rng(3)
+    for n, k in ((1, 0), (40, 9), (900, 300), (3000, 5)):
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[k:], r.integers(0, 2**63, k, dtype=np.uint64)]))
+        x, y = minhash_dedup.bitmap(a), minhash_dedup.bitmap(b)
+        assert len(x) == minhash_dedup.BITS // 64 and sum(int(z).bit_count() for z in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_tensored_keys_need_few_minhashes():
     assert len(minhash_dedup.MUL) == 2 * minhash_dedup.SIDE * minhash_dedup.ROWS < minhash_dedup.SIDE**2
 
