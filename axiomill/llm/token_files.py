@@ -8,25 +8,34 @@ document order and read back; a document's global offset is its shard's base plu
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import struct
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Interner, arrow_rows, kept, partitions_for, stash, table
+from .common import Interner, arrow_rows, chunks, kept, partitions_for, stash, table
 
 MAGIC = b"AXTF1"
 #: a shard is closed at this many ids or documents; words kept by a worker's encoder
 SHARD_IDS, SHARD_DOCS, CACHED = 1 << 19, 4096, 700_000
 SAMPLE = 64
-DOUBLE = re.compile(r"\s\s")
-#: parts pieces in a text: a lone surrogate, which no valid text has
-CUT = "\udc82"
+#: bytes of text encoded together (or one longer text); new pieces in a string for the library
+GROUP, TOGETHER = 8 << 20, 64
+#: a piece without white space but for a space or line break that leads it
+PLAIN = re.compile(r"[ \n]?\S+")
+#: by byte: ASCII white space, ASCII letters, ASCII punctuation without the apostrophe, bytes that may begin a Latin-1 letter or other white space; white space of three bytes
+WHITE, LETTER, MARK, LEADS = (np.array([f(b) for b in range(256)]) for f in (
+    lambda b: b in b"\t\n\v\f\r\x1c\x1d\x1e\x1f ", lambda b: b < 128 and chr(b).isalpha(), lambda b: 32 < b < 127 and not chr(b).isalnum() and b != 39, lambda b: b in b"\xc2\xc3\xe1\xe2\xe3",
+))
+WIDE = np.array([int.from_bytes(chr(c).encode()) for c in (0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
 class EliasFano:
@@ -120,13 +129,37 @@ class Shard:
         return self.ids[self.start(i) : self.ends.select(i)]
 
 
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Where UTF-8 text may be cut so that the ids of its pieces are its ids: bytes before which the splitting pattern always ends a match.
+
+    These are a single space or line break between two characters that are not white space, what follows such a line break, and
+    ASCII punctuation (no apostrophe) after a letter of ASCII or Latin-1. Other letters are not looked for, their pieces are only longer.
+    """
+    white, letter = WHITE[buf], LETTER[buf]
+    at = np.flatnonzero(LEADS[buf])
+    if len(at):
+        x, y, z = buf[at], np.append(buf[1:], 0)[at], np.append(buf[2:], (0, 0))[at]
+        latin = at[(x == 0xC3) & (y != 0x97) & (y != 0xB7)]
+        letter[latin] = letter[latin + 1] = True
+        two = at[(x == 0xC2) & ((y == 0x85) | (y == 0xA0))]
+        white[two] = white[two + 1] = True
+        code = (x.astype(np.int64) << 16) | (y.astype(np.int64) << 8) | z
+        three = at[np.isin(code, WIDE)]
+        white[three] = white[three + 1] = white[three + 2] = True
+    gap = (buf == 32) | (buf == 10)
+    gap[1:] &= ~white[:-1]
+    gap[:-1] &= ~white[1:]
+    out = gap.copy()
+    out[1:] |= (gap[:-1] & (buf[:-1] == 10)) | (MARK[buf[1:]] & letter[:-1])
+    return out
+
+
 class Encoder:
     """Whole texts to ids, exactly as the tokenizers library, with the ids of frequent words kept.
 
-    The tokenizer's splitting pattern always cuts before a single space or line break between two characters that are not
-    white space, so the ids of a text are those of its pieces between such spaces. Pieces are looked
-    up. New pieces with one of these go to the library many at a time in one string, whose ids are cut again at
-    the tokens that begin with it; others go one by one. Texts with a special token's string go to the library whole.
+    Texts are cut where the tokenizer's splitting pattern always cuts (``cuts``), so their ids are those of the pieces. The distinct pieces of many
+    texts are looked up once. New ones without white space inside go to the library many at a time in one string, each led by its space or a line break,
+    whose ids are cut again at the tokens that begin with it; others go one by one. Texts with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -137,53 +170,75 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known, self.ids = Interner(), []
         self.cached = cached
+        self.forget()
         self.begins = np.zeros(self.tok.get_vocab_size(), bool)
         for piece, i in self.tok.get_vocab().items():
             self.begins[i] = piece.startswith(("\u0120", "\u010a"))  # how byte-level vocabularies write a space and a line break
 
-    def pieces(self, text: str) -> list[str]:
-        if not DOUBLE.search(text):  # every space and line break stands alone: each begins a piece
-            parts = text.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT)
-            return parts if parts[0] else parts[1:]
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
+    def forget(self) -> None:
+        """Pieces by number; the i-th has size[i] ids from first[i] on."""
+        self.known, self.ids, self.first, self.size = Interner(), np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.cached:
-            self.known, self.ids = Interner(), []
-        number = self.known.__getitem__
-        split = [None if any(s in t for s in self.special) else list(map(number, self.pieces(t))) for t in texts]
+        ids, ends = self.encode_array(pa.array(texts, pa.large_string()))
+        return np.split(ids, ends[:-1]) if texts else []
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (large strings without nulls), and where those of each text end."""
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.encode_plain(texts)
+        ids, ends = self.encode_plain(pc.if_else(pa.array(whole), "", texts))
+        parts = np.split(ids, ends[:-1])
+        for i in np.flatnonzero(whole).tolist():
+            parts[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if bounds[0] == bounds[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        if len(self.known) > self.cached or len(self.ids) > 8 * self.cached or len(self.known) != len(self.size):  # full, or a group before was not learned to its end
+            self.forget()
+        buf, bounds = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+        cut = np.append(cuts(buf), True)
+        cut[bounds] = True
+        cut = np.flatnonzero(cut)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(buf)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         self.learn(self.known.take())
-        return [
-            np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4") if at is None else np.frombuffer(b"".join(map(self.ids.__getitem__, at)), "<u4")
-            for t, at in zip(texts, split, strict=True)
-        ]
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of new pieces, as bytes, in their order."""
-        base = len(self.ids)
-        self.ids += [None] * len(new)
-        plain = [i for i, p in enumerate(new) if len(p) > 1 and p[0] in " \n" and p.find(" ", 1) < 0 and p.find("\n", 1) < 0]
-        parts = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-        found = self.tok.encode_batch_fast(["".join([new[i] for i in part]) for part in parts], add_special_tokens=False)
-        for part, e in zip(parts, found, strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(self.begins[ids])
-            if len(cuts) == len(part):
-                b, cuts = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
-                for i, x, y in zip(part, cuts[:-1], cuts[1:], strict=True):
-                    self.ids[base + i] = b[x:y]
-        rest = [i for i in range(len(new)) if self.ids[base + i] is None]
-        for i, e in zip(rest, self.tok.encode_batch([new[i] for i in rest], add_special_tokens=False), strict=True):
-            self.ids[base + i] = np.array(e.ids, "<u4").tobytes()
+        number = number[pieces.indices.to_numpy()]
+        size = self.size[number]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[number] - (ends - size), size) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(cut, bounds[1:])]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of new pieces, in their order."""
+        texts = [p.decode() for p in new]
+        plain = [i for i, p in enumerate(texts) if PLAIN.fullmatch(p)]
+        bare = np.array([texts[i][0] not in " \n" for i in plain], np.int64)
+        strings = ["\n" + texts[i] if x else texts[i] for i, x in zip(plain, bare.tolist(), strict=True)]
+        found = [e.ids for e in self.tok.encode_batch_fast(["".join(strings[at : at + TOGETHER]) for at in range(0, len(plain), TOGETHER)], add_special_tokens=False)]
+        bounds = np.cumsum([0, *map(len, found)])
+        ids = np.fromiter(itertools.chain.from_iterable(found), "<u4", bounds[-1])
+        starts = np.flatnonzero(self.begins[ids])
+        held = np.diff(np.searchsorted(starts, bounds))  # beginnings found in each string, and how many there are
+        asked = np.minimum(TOGETHER, len(plain) - TOGETHER * np.arange(len(found)))
+        right, whole = np.repeat(held == asked, asked), np.repeat(held == asked, held)
+        some, starts, ends = np.array(plain, np.int64)[right], starts[whole], np.append(starts, len(ids))[1:][whole]
+        first, size = np.zeros(len(new), np.int64), np.full(len(new), -1)
+        first[some], size[some] = starts + bare[right], ends - starts - bare[right]
+        rest = np.flatnonzero(size < 0).tolist()
+        singly = [np.array(e.ids, "<u4") for e in self.tok.encode_batch([texts[i] for i in rest], add_special_tokens=False)]
+        size[rest] = [len(x) for x in singly]
+        first[rest] = len(ids) + np.cumsum([0, *map(len, singly)])[:-1]
+        self.first, self.size = np.append(self.first, len(self.ids) + first), np.append(self.size, size)
+        self.ids = np.concatenate([self.ids, ids, *singly])
 
 
 @kept
@@ -193,6 +248,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+#: of a row of ``write_tokens``
+WRITTEN = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("within", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
+
+
+def grouped(batches):
+    """Arrow batches in tables of about GROUP bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GROUP:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored shards, in ascending id order: (part, seq, within, n_docs, n_ids, shard binary); ``within`` counts the ids of the part before the shard.
 
@@ -213,24 +285,28 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc
         keys, lengths, ids, total, within = [], [], [], 0, 0
 
         def close():
-            return pd.DataFrame({"part": [part], "seq": [seq], "within": [within], "n_docs": [len(keys)], "n_ids": [total], "shard": [write_shard(keys, lengths, np.concatenate(ids))]})
-
-        end = np.array([end_id], "<u4")
-        for pdf in batches:
-            missing = pdf["doc_id"].isna().to_numpy()
-            for key, gone, x in zip(pdf["doc_id"].tolist(), missing, enc.encode(pdf["text"].tolist()), strict=True):
-                keys.append(None if gone else int(key))
-                lengths.append(len(x) + 1)
-                ids += [x, end]
-                total += len(x) + 1
-                if total >= SHARD_IDS or len(keys) >= SHARD_DOCS:
-                    yield close()
-                    seq, within = seq + 1, within + total
-                    keys, lengths, ids, total = [], [], [], 0
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "within": [within], "n_docs": [len(keys)], "n_ids": [total], "shard": [write_shard(keys, lengths, np.concatenate(ids))]}, WRITTEN)
+
+        for group in grouped(batches):
+            texts = group["text"].combine_chunks().cast(pa.large_string())
+            for at, some in chunks(group["doc_id"].to_pylist(), pc.binary_length(texts).to_pylist(), GROUP):
+                found, ends = enc.encode_array(texts.slice(at, len(some)))
+                found, last, done = np.insert(found, ends, end_id), 0, 0
+                for key, end in zip(some, (ends + np.arange(1, len(some) + 1)).tolist(), strict=True):
+                    keys.append(key)
+                    lengths.append(end - last)
+                    total += end - last
+                    last = end
+                    if total >= SHARD_IDS or len(keys) >= SHARD_DOCS:
+                        ids.append(found[done:end])
+                        yield close()
+                        seq, within, done = seq + 1, within + total, end
+                        keys, lengths, ids, total = [], [], [], 0
+                ids.append(found[done:])
         if keys:
             yield close()
 
-    return stash(ordered.mapInPandas(run, "part int, seq int, within long, n_docs long, n_ids long, shard binary"), "tokens")
+    return stash(ordered.mapInArrow(run, "part int, seq int, within long, n_docs long, n_ids long, shard binary"), "tokens")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,6 +37,35 @@ def test_encoder_equals_library(text):
     assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab ,.'-|\n\t\r\x00\x1cé×Àß\x85\xa0\u180e\u2003\u200b\u2028\u3000’日😀1", max_size=30), max_size=6))
+def test_encoder_equals_library_around_every_kind_of_white_space(texts):
+    enc = T.encoder(PATH)
+    enc.forget()
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_equals_library_on_mixed_texts_known_or_new():
+    enc = T.Encoder(PATH, cached=5)  # forgets before every group
+    texts = TEXTS + [a + b for a in TEXTS for b in TEXTS]
+    want = [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(texts)] == want == [x.tolist() for x in T.encoder(PATH).encode(texts)] == [x.tolist() for x in T.encoder(PATH).encode(texts)]
+    ids, ends = enc.encode_array(pa.array(texts, pa.large_string()).slice(7, 40))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want[7:47]
+
+
+def test_encoder_learns_a_word_once_whatever_follows_it():
+    words, marks = [f"w{chr(97 + i)}{x}" for i in range(26) for x in ("onö", "ing")], ["", ",", ".", ";", ":", "!", "?", ")", "|"]
+    enc, texts = T.Encoder(PATH), [" ".join(w + m for m in marks) + "\n" + w for w in words]
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert len(enc.known) <= 2 * len(words) + len(marks)  # a word with a space, without one (line starts), the marks and the line break
+
+
+def test_grouped_batches_keep_every_row():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * (T.GROUP // 3 + 1)]}) for i in range(7)]
+    assert [g["doc_id"].to_pylist() for g in T.grouped(batches)] == [[0, 1, 2], [3, 4, 5], [6]] and list(T.grouped([])) == []
+
+
 def test_file_round_trip_with_nulls_repeats_and_long_texts(spark):
     rows = [(5, TEXTS[3]), (1, None), (None, "null id"), (5, TEXTS[3]), (2, ""), (9, "word " * 60_000)] + [(100 + i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as shard", "2 as part")
