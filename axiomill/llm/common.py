@@ -35,12 +35,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stash(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def stash(df: DataFrame, name: str, free: bool = False, small: bool = False) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
 
     ``free``: what the step shuffled is large and no longer needed, so Spark's cleaner is given the time to drop those files.
+    ``small``: many tasks leave a few rows each. These are gathered first, so few tasks write a file; on local disks each costs its
+    executor three chmod processes.
     """
     spark = df.sparkSession
+    if small:
+        df = df.hint("rebalance", df.columns[0])
     path = f"{shared_dir(spark)}/axiomill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)

@@ -179,20 +179,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     for r in range(PIVOTS + 2):
         if r == PIVOTS:
             prefix = stash(prefixes(mixed_buckets(buckets, labels), sets, percent), "prefixes")
-        pairs = stash(pivot_pairs(buckets, labels, r) if r < PIVOTS else rest_pairs(prefix, labels, percent, central=r == PIVOTS), "pairs")
+        pairs = stash(pivot_pairs(buckets, labels, r) if r < PIVOTS else rest_pairs(prefix, labels, percent, central=r == PIVOTS), "pairs", small=True)
         if pairs.isEmpty():
             continue  # these pivots have nothing new; the exact round decides
-        found = stash(confirm(pairs, sets, percent, once=r < PIVOTS), "links")
+        found = stash(confirm(pairs, sets, percent, once=r < PIVOTS), "links", small=True)
         links = found if links is None else links.unionByName(found)
         if r <= PIVOTS:
-            labels = stash(relabelled(labels, found), "labels")
+            labels = stash(relabelled(labels, found), "labels", small=True)
     if links is not None:
         # what the steps have not joined yet: links between different labels
         ends = links.select("v", "p").join(labels, "v").join(labels.select(F.col("v").alias("p"), F.col("c").alias("d")), "p")
-        open_ = stash(ends.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "open")
+        open_ = stash(ends.where("c <> d").select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "open", small=True)
         if not open_.isEmpty():
             comp = connected_components(open_)
-            labels = stash(labels.join(comp.select(F.col("node").alias("c"), "component"), "c", "left").select("v", F.coalesce("component", "c").alias("c")), "labels")
+            labels = stash(labels.join(comp.select(F.col("node").alias("c"), "component"), "c", "left").select("v", F.coalesce("component", "c").alias("c")), "labels", small=True)
     # ids of one class, and rows of one id, belong together
     own = sig.where("n_shingles > 0 and doc_id is not null").join(cls.select("f1", "f2", "v"), ["f1", "f2"]).select("doc_id", "v").join(labels, "v", "left").select("doc_id", F.coalesce("c", "v").alias("c"))
     several = own.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("d"))

@@ -4,7 +4,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as pipeline  # noqa: E402
-from axiomill.llm import minhash_dedup, quality, suffix_dedup  # noqa: E402
+from axiomill.llm import common, minhash_dedup, quality, suffix_dedup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from here today "
@@ -36,6 +36,18 @@ def test_near_duplicate_stage_keeps_the_smallest(spark):
     assert kept - {None} == {r["doc_id"] for r in minhash_dedup.near_duplicates(docs).where("kept").collect()} - {None}
 
 
+def test_near_duplicate_stage_writes_its_small_steps_to_few_files(spark, monkeypatch):
+    seen, stash = [], minhash_dedup.stash
+    monkeypatch.setattr(minhash_dedup, "stash", lambda df, name, **b: seen.append((name, len((out := stash(df, name, **b)).inputFiles()), b)) or out)
+    docs = docs_of(spark, [(i, BASE * 2 + " ".join(f"w{j}" for j in range(i // 2 % 5)) + f" x{i}") for i in range(40)])
+    pipeline.near_dedup(spark, docs, SF).count()
+    small = [x for x in seen if x[0] in ("pairs", "links", "labels")]
+    assert {x[0] for x in small} == {"pairs", "links", "labels"} and all(b.get("small") and n <= 1 for _, n, b in small)
+    out = common.stash(spark.range(0, 1000, 1, 16), "ids", small=True)
+    assert len(out.inputFiles()) == 1 and sorted(x["id"] for x in out.collect()) == list(range(1000))
+    assert common.stash(spark.range(0), "none", small=True).count() == 0
+
+
 def test_passage_stage_cuts_later_copies(spark):
     passage = "a passage that is repeated word for word in more than one of the documents of this small test, all of it " * 2
     docs = docs_of(spark, [(1, "first " + passage + " end"), (2, "second " + passage + " stop")])
